@@ -69,16 +69,16 @@ def with_next(df: DataFrame, key: str, carry: list[str], tie: list) -> DataFrame
     firsts = sorted((r["place"], r["k"]) for r in df.groupBy(place.alias("place")).agg(F.min(key).alias("k")).collect())  # one row for each range
     df = df.withColumn("__place", place)
     ghosts = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+    own = F.struct(F.col("__place").alias("place"), F.lit(False).alias("ghost"))
+    to = F.array(own)
     if ghosts:
         before = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, p in ghosts.items() for x, t in ((k, "long"), (p, "int"))]), F.col(key))
-        also = F.when(F.col(key).isin(list(ghosts)), F.array(F.struct(F.col("__place").alias("place"), F.lit(False).alias("ghost")), F.struct(before.alias("place"), F.lit(True).alias("ghost"))))
-        df = df.withColumn("__to", F.explode(F.coalesce(also, F.array(F.struct(F.col("__place").alias("place"), F.lit(False).alias("ghost"))))))
-    else:
-        df = df.withColumn("__to", F.struct(F.col("__place").alias("place"), F.lit(False).alias("ghost")))
-    w = Window.partitionBy("__to.place").orderBy("__to.ghost", key, *tie)
-    for c in carry:
-        df = df.withColumn(f"next_{c}", F.lead(c).over(w))
-    return df.where(~F.col("__to.ghost")).drop("__to", "__place")
+        to = F.when(F.col(key).isin(list(ghosts)), F.array(own, F.struct(before.alias("place"), F.lit(True).alias("ghost")))).otherwise(to)
+    df = df.withColumn("__to", F.explode(to)).withColumns({"__place": F.col("__to.place"), "__ghost": F.col("__to.ghost")}).drop("__to")
+    # one window for all of them, so that the texts are dealt out once
+    w = Window.partitionBy("__place").orderBy("__ghost", key, *tie)
+    df = df.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
+    return df.where(~F.col("__ghost")).drop("__ghost", "__place")
 
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
