@@ -13,6 +13,8 @@ up after its first use, which makes the whole linear in the piece's length.
 from __future__ import annotations
 
 import base64
+from array import array
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -39,83 +41,122 @@ class BytePairs:
         self.find = regex.compile(pattern).findall
         self.trie = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.trie.add_word(token.decode("latin-1"), (len(token), rank))
+            self.trie.add_word(token.decode("latin-1"), rank)
         self.trie.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """The merges carried out one by one, lowest rank first: for short strings only."""
+        self.sizes = {r: len(t) for r, t in self.tokens.items()}
+        self.shorter: dict[int, int] = {}
+        #: By the two tokens in one number; -1 stands for the start of a piece.
+        self.compatible: dict[int, bool] = {}
+        self.edges: dict[tuple[int, int], tuple[int, ...]] = {}
+        #: Pieces and their tokens as int32 bytes.
+        self.memo: dict[str, bytes] = {}
+
+    def merged(self, data: bytes, stop: int = 1) -> list[int]:
+        """The merges carried out one by one, lowest rank first, until ``stop`` parts are left: for short strings only."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best[0] == 1 << 60:
+        while len(parts) > stop:
+            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if rank == 1 << 60:
                 break
-            i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def fits(self, before: int | None, token: int) -> bool:
-        """Whether ``token`` can follow ``before`` (or start a piece)."""
-        if before is None:
-            known = self.whole.get(token)
-            if known is None:
-                known = self.whole[token] = self.merged(self.tokens[token]) == [token]
-            return known
-        known = self.compatible.get((before, token))
+    def edge(self, token: int, side: int) -> tuple[int, ...]:
+        """``token`` and what stood at its end (``side`` -1) or start (0) before each merge that made it, down to a byte."""
+        known = self.edges.get((token, side))
         if known is None:
-            known = self.compatible[before, token] = self.fits(None, token) and self.merged(self.tokens[before] + self.tokens[token]) == [before, token]
+            known, data = (token,), self.tokens[token]
+            if len(data) > 1:
+                known += self.edge(self.merged(data, 2)[side], side)
+            self.edges[token, side] = known
         return known
 
-    def piece(self, data: bytes) -> tuple[int, ...]:
+    def fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` can follow ``before`` (-1: start a piece): whether no merge would have joined them.
+
+        The merges of both are taken back from the latest. What stands at the border in
+        between must not make a token that would have been merged sooner; of equal ranks
+        the leftmost merge comes first, so there the border goes before a merge to its right.
+        """
+        key = before << 24 | token
+        known = self.compatible.get(key)
+        if known is None:
+            if before < 0:
+                known = self.merged(self.tokens[token]) == [token]
+            else:
+                known = self.fits(-1, token) and self._apart(before, token)
+            self.compatible[key] = known
+        return known
+
+    def _apart(self, before: int, token: int) -> bool:
+        left, right, i, j, until = self.edge(before, -1), self.edge(token, 0), 0, 0, 1 << 60
+        while True:
+            a, b = left[i], right[j]
+            if self.ranks.get(self.tokens[a] + self.tokens[b], 1 << 60) < until:
+                return False
+            if i + 1 < len(left) and (j + 1 == len(right) or a > b):
+                i, until = i + 1, a
+            elif j + 1 < len(right):
+                j, until = j + 1, b + 1
+            else:
+                return True
+
+    def prefix(self, token: int) -> int:
+        """The longest other token that ``token``'s bytes begin with; -1 if there is none."""
+        known = self.shorter.get(token)
+        if known is None:
+            data = self.tokens[token]
+            known = self.shorter[token] = next((self.ranks[data[:k]] for k in range(len(data) - 1, 0, -1) if data[:k] in self.ranks), -1)
+        return known
+
+    def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece."""
         rank = self.ranks.get(data)
         if rank is not None:
-            return (rank,)
-        text, n = data.decode("latin-1"), len(data)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.trie.iter(text):
-            starts[end - length + 1].append((length, token))  # of a start, the longest comes last
-        tokens: list[int] = []
-        places, choice = [0], [len(starts[0])]
-        dead = bytearray(n + 1)
-        while places[-1] < n:
-            at, k = places[-1], choice[-1] - 1
-            before = tokens[-1] if tokens else None
-            while k >= 0:
-                length, token = starts[at][k]
-                if not dead[at + length] and self.fits(before, token):
-                    break
-                k -= 1
-            choice[-1] = k
-            if k >= 0:
+            return [rank]
+        n, sizes, compatible = len(data), self.sizes, self.compatible
+        longest = [-1] * n
+        for end, token in self.trie.iter(data.decode("latin-1")):
+            longest[end - sizes[token] + 1] = token  # of a start, the longest comes last
+        dead, tokens, at, before, token = bytearray(n + 1), [], 0, -1, longest[0]
+        while True:
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    known = compatible.get(before << 24 | token)
+                    if self.fits(before, token) if known is None else known:
+                        break
+                token = self.prefix(token)
+            if token >= 0:
                 tokens.append(token)
-                places.append(at + length)
-                choice.append(len(starts[at + length]) if at + length < n else 0)
+                at += sizes[token]
+                if at == n:
+                    return tokens
+                before, token = token, longest[at]
             elif tokens:
                 dead[at] = 1
-                tokens.pop()
-                places.pop()
-                choice.pop()
+                token = tokens.pop()
+                at -= sizes[token]
+                before = tokens[-1] if tokens else -1
             else:
                 raise ValueError("the vocabulary can't make this piece; single bytes are missing")
-        return tuple(tokens)
+
+    def _new(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        got = array("i", self.piece(data)).tobytes()
+        if len(data) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_PIECES:
+                self.memo.clear()
+            self.memo[piece] = got
+        return got
+
+    def encode_raw(self, text: str) -> bytes:
+        """The tokens of ``text`` as int32 bytes: each match of the pattern by itself; no special tokens."""
+        known, new = self.memo.get, self._new
+        return b"".join([known(p) or new(p) for p in self.find(text)])
 
     def encode(self, text: str) -> list[int]:
-        """The tokens of ``text``: each match of the pattern by itself; no special tokens."""
-        memo, out = self.memo, []
-        for p in self.find(text):
-            got = memo.get(p)
-            if got is None:
-                data = p.encode("utf-8", "surrogatepass")
-                got = self.piece(data)
-                if len(data) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_PIECES:
-                        memo.clear()
-                    memo[p] = got
-            out.extend(got)
-        return out
+        """The tokens of ``text``."""
+        return array("i", self.encode_raw(text)).tolist()
 
     def decode(self, ids) -> bytes:
         """The bytes of ``ids``; an unknown id is a KeyError."""
@@ -141,15 +182,17 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     def run(batches):
         coder = _worker_coder(vocab)
         for batch in batches:
-            texts, ids, start, held = batch.column(1).to_pylist(), [], 0, 0
-            for k, text in enumerate(texts):
-                ids.append(coder.encode(text or ""))
-                held += len(ids[-1])
-                if held >= _OUT_TOKENS or k == len(texts) - 1:
+            names = [n for n in batch.schema.names if n != "__text"]
+            texts, raw, start, held = batch.column(1), [], 0, 0
+            for k in range(batch.num_rows):
+                raw.append(coder.encode_raw(texts[k].as_py() or ""))
+                held += len(raw[-1]) // 4
+                if held >= _OUT_TOKENS or k == batch.num_rows - 1:
                     own = batch.slice(start, k + 1 - start)
-                    names = [n for n in own.schema.names if n != "__text"]
-                    yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
-                    ids, start, held = [], k + 1, 0
+                    ends = pa.array([0, *accumulate(len(r) // 4 for r in raw)], pa.int32())
+                    ids = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), held, [None, pa.py_buffer(b"".join(raw))]))
+                    yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), ids], names=[*names, "ids"])
+                    raw, start, held = [], k + 1, 0
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
@@ -165,7 +208,11 @@ def decode_tokens(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", o
             at = batch.schema.names.index(ids_col)
             for start in range(0, batch.num_rows, 256):
                 own = batch.slice(start, 256)
-                data = [None if x is None else coder.decode(x) for x in own.column(at).to_pylist()]
+                lists = own.column(at)
+                ends, there = lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+                first = ends[0]
+                ids = lists.values.slice(first, ends[-1] - first).to_numpy().tolist()  # values holds those outside of the slice too
+                data = [coder.decode(ids[a - first : b - first]) if ok else None for a, b, ok in zip(ends, ends[1:], there, strict=False)]
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(data, pa.binary())], names=[*own.schema.names, out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
