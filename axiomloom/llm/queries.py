@@ -73,4 +73,42 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_byte_bpe, op4_simhash_near_dedup, op5_personal_data, op6_language_id, op7_document_fingerprints, op8_ordinal_quality, op9_secret_scan, op10_embedding_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+#: The contracts that DuckDB can state. Of the others, hashes (XXH64), tokenising and trained models have no SQL; tests/llm holds them against brute force.
+ORACLE_SQL = {
+    "op2_source_mixing": """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+b AS (SELECT *, size / (size + 20) AS doc_weight, (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(trunc(doc_weight * size * 1024)::BIGINT)::BIGINT AS weighted FROM b GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1)::INT % 3] AS weight, 3 * source_size AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source COLLATE "C" NULLS LAST) AS k FROM w),
+l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lw,
+ sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lm FROM o),
+f AS (SELECT min(k) AS k FROM l WHERE lw * weight <= cap * lm),
+t AS (SELECT l.*, coalesce(least(l.cap::DOUBLE, x.lw::DOUBLE * l.weight::DOUBLE / x.lm::DOUBLE), l.cap::DOUBLE) AS target FROM l LEFT JOIN l x ON x.k = (SELECT k FROM f)),
+p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+ CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE target END AS need, weighted FROM t),
+r AS (SELECT b.*, p.source_size, p.target, p.whole, p.need, least(1.0, CASE WHEN p.weighted > 0 THEN p.need * 1024 / p.weighted ELSE 0.0 END * doc_weight) AS pi FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source),
+q AS (SELECT *, CASE WHEN pi <= 0 THEN 1.0 ELSE (u / (1 - u) * ((1 - pi) / pi)) / (1 + u / (1 - u) * ((1 - pi) / pi)) END AS rank FROM r),
+c AS (SELECT *, sum(CASE WHEN size > 0 AND need > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY (size > 0 AND need > 0) DESC, rank, doc_id NULLS FIRST, size) AS upto FROM q)
+SELECT doc_id, size, source_size, target, (whole::BIGINT + e) * size AS taken, whole::BIGINT + e AS copies
+FROM (SELECT *, CASE WHEN size > 0 AND need > 0 AND (upto <= need OR upto - need <= need - (upto - size)) THEN 1 ELSE 0 END AS e FROM c)""",
+    "op1_suffix_array_dedup": """
+WITH b AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, p, md5_number(substr(h, 2 * p::BIGINT + 1, 100)) AS s FROM b, range(0, length(h) // 2 - 49) t(p) WHERE length(h) >= 100),
+m AS (SELECT s, min(k) AS k FROM w GROUP BY s HAVING min(k) < max(k)),
+g AS (SELECT w.doc_id, p, p - coalesce(lag(p) OVER (PARTITION BY w.doc_id ORDER BY p), -1000) > 50 AS fresh FROM w JOIN m ON w.s = m.s WHERE m.k < w.k),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+x AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM r GROUP BY ALL),
+y AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM y GROUP BY doc_id),
+t AS (SELECT y.doc_id, string_agg(substr(h, 2 * before::BIGINT + 1, 2 * (a - before)::BIGINT), '' ORDER BY a) AS head FROM y JOIN b ON y.doc_id = b.doc_id GROUP BY y.doc_id)
+SELECT b.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0)::BIGINT + 1))) AS kept_sha256 FROM b LEFT JOIN k ON b.doc_id = k.doc_id LEFT JOIN t ON b.doc_id = t.doc_id""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND n > 0 AND isfinite(n)),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+c AS (SELECT a AS s, b AS t FROM l UNION SELECT c.s, l.b FROM c JOIN l ON c.t = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(t) FROM c WHERE c.s = v.vec_id), v.vec_id)) AS component_id,
+ v.vec_id = least(v.vec_id, coalesce((SELECT min(t) FROM c WHERE c.s = v.vec_id), v.vec_id)) AS kept FROM v""",
+}
