@@ -22,8 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces held in each worker's memo before it starts afresh, and the longest piece it holds.
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+#: Pieces and token pairs held in each worker's memos before they start afresh, and the longest piece held.
+MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 200_000, 400_000, 64
 _OUT_TOKENS = 1 << 20
 
 
@@ -39,10 +39,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.trie = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.trie.add_word(token.decode("latin-1"), rank)
-        self.trie.make_automaton()
+        self._trie = None
         self.sizes = {r: len(t) for r, t in self.tokens.items()}
         self.shorter: dict[int, int] = {}
         #: By the two tokens in one number; -1 stands for the start of a piece.
@@ -51,6 +48,16 @@ class BytePairs:
         #: Pieces and their tokens as int32 bytes.
         self.memo: dict[str, bytes] = {}
 
+    @property
+    def trie(self) -> ahocorasick.Automaton:
+        """The automaton over the vocabulary; made on first use, as decoding needs none."""
+        if self._trie is None:
+            self._trie = ahocorasick.Automaton()
+            for token, rank in self.ranks.items():
+                self._trie.add_word(token.decode("latin-1"), rank)
+            self._trie.make_automaton()
+        return self._trie
+
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """The merges carried out one by one, lowest rank first, until ``stop`` parts are left: for short strings only."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -85,6 +92,8 @@ class BytePairs:
                 known = self.merged(self.tokens[token]) == [token]
             else:
                 known = self.fits(-1, token) and self._apart(before, token)
+            if len(self.compatible) >= MEMO_PAIRS:
+                self.compatible.clear()
             self.compatible[key] = known
         return known
 

@@ -43,8 +43,8 @@ def has_letter(text: str | None) -> bool:
 def _count_batches(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if has_letter(text):
+        for scalar, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            if has_letter(text := scalar.as_py()):
                 sums[lang] = sums.get(lang, 0) + trigram_counts(text)
     for lang, n in sums.items():
         own = np.flatnonzero(n)
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         langs, table = held.value
         for batch in batches:
-            found = [identify(t, langs, table) for t in batch.column(0).to_pylist()]
+            found = [identify(t.as_py(), langs, table) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([" ".join(f"{g}:{s:.2f}" for g, s in f[2]) for f in found], pa.string())],
                 names=[*batch.schema.names[1:], "lang_pred", "score", "languages"],

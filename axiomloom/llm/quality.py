@@ -42,7 +42,7 @@ def features(text: str | None) -> list[int]:
 
 def _feature_batches(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["grade", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["grade", "x"])
 
 
 def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     def run(batches):
         model = held.value
         for batch in batches:
-            total = np.array([float(model.weights[features(t)].sum(dtype=np.float64)) for t in batch.column(1).to_pylist()], float)
+            total = np.array([float(model.weights[features(t.as_py())].sum(dtype=np.float64)) for t in batch.column(1)], float)
             p = model.tails(total)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "expected_grade", "tails"])
 

@@ -38,7 +38,8 @@ TILE = 8192
 #: Bits of each block, from the lowest.
 BLOCKS = (13, 13, 13, 13, 12)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_STEP = 1 << 18
+#: Shingles whose bits a worker holds at once, unless one text has more.
+_STEP = 1 << 16
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> list[int]:
@@ -65,14 +66,14 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _fingerprint_batches(batches):
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        ids, texts = batch.column(0), batch.column(1)
         found, hashes, sizes, held = [], [], [], 0
-        for k, text in enumerate(texts):
-            own = shingle_hashes(text)
+        for k in range(batch.num_rows):
+            own = shingle_hashes(texts[k].as_py())
             sizes.append(len(own))
             hashes += own
             held += len(own)
-            if held >= _STEP or k == len(texts) - 1:
+            if held >= _STEP or k == batch.num_rows - 1:
                 found.append(majority(np.array(hashes, np.uint64), np.array(sizes)))
                 hashes, sizes, held = [], [], 0
         fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
