@@ -4,7 +4,8 @@ Three base patterns find spans that always stay. Besides, every long token of le
 digits is scored by the log-likelihood ratio of two first-order Markov models of
 characters: one of random strings, one of ordinary identifiers. Both are trained from
 labelled samples: random are the secrets that the base patterns find and generated
-strings; ordinary are the words of a bounded sample of documents outside these spans.
+strings; ordinary are the words without digits of a bounded sample of documents and a list of
+identifiers.
 Only the counts of character pairs, at most ``2 * 67 ** 2`` rows, reach the driver.
 """
 
@@ -29,10 +30,16 @@ HEX = r"[0-9a-f]{24,}+"
 #: Tokens that are scored: at least 16 signs, with a letter and a digit.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Documents whose words are ordinary samples (expected number), generated random strings, pseudo-count of each pair.
-SAMPLE_DOCS, RANDOM_STRINGS, SMOOTH = 2000, 2000, 0.5
+#: Documents whose words are ordinary samples (expected number), generated random strings, pairs that a character's own frequency counts as.
+SAMPLE_DOCS, RANDOM_STRINGS, SMOOTH = 2000, 2000, 5.0
+#: Labelled ordinary identifiers with digits and inner capitals, which running text has few of; each counts ``IDENTIFIER_WEIGHT`` times.
+IDENTIFIERS = (
+    "getElementById", "HTTPResponse2", "version_2_release_notes", "user_id_2024_backup", "ISO8859Encoding", "2024-01-15T10_30_00", "section4paragraph12", "utf8mb4_unicode_ci", "COVID19Trial",
+    "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "1234567890", "chapter_10_figure_3", "parseJSONDocument", "toString", "MAX_VALUE_32", "file-2023-12-31-final", "base64Encode", "x86_64-linux-gnu",
+)
+IDENTIFIER_WEIGHT = 25
 #: Least mean log-likelihood ratio of a token's character pairs.
-LEAST_RATIO = 0.5
+LEAST_RATIO = 1.5
 _SIZE = len(ALPHABET) + 1
 
 
@@ -44,14 +51,23 @@ def _pairs(token):
 
 
 def ratio_table(counts: dict[str, dict[int, float]]) -> list[float]:
-    """The log-likelihood ratio of each character pair from the pair counts of ``random`` and ``ordinary``."""
+    """The log-likelihood ratio of each character pair from the pair counts of ``random`` and ``ordinary``.
+
+    A model's probability of a character after another leans, with the weight of ``SMOOTH``
+    pairs, on that of the character anywhere, as far as the sample has the first of the
+    two; after characters that it hardly has, all are equally likely.
+    """
     logs = {}
     for kind in ("random", "ordinary"):
         own = counts.get(kind, {})
-        rows = [SMOOTH * _SIZE] * _SIZE
+        rows, ends = [0.0] * _SIZE, [0.5] * _SIZE
         for k, n in own.items():
             rows[k // _SIZE] += n
-        logs[kind] = [math.log((own.get(k, 0.0) + SMOOTH) / rows[k // _SIZE]) for k in range(_SIZE * _SIZE)]
+            ends[k % _SIZE] += n
+        total = sum(ends)
+        seen = [n / (n + 10 * SMOOTH) for n in rows]
+        lean = lambda a, b: seen[a] * ends[b] / total + (1 - seen[a]) / _SIZE  # noqa: E731, B023
+        logs[kind] = [math.log((own.get(a * _SIZE + b, 0.0) + SMOOTH * lean(a, b)) / (rows[a] + SMOOTH)) for a in range(_SIZE) for b in range(_SIZE)]
     return [a - b for a, b in zip(logs["random"], logs["ordinary"], strict=True)]
 
 
@@ -68,7 +84,9 @@ def train(found: DataFrame, samples: DataFrame) -> list[float]:
     spark = found.sparkSession
     made = spark.range(RANDOM_STRINGS).select(F.when(F.col("id") % 2 == 0, F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40)).otherwise(F.substring(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), 1, 40)).alias("token"))
     random = found.select(F.explode("values").alias("token")).union(made).select(F.lit("random").alias("kind"), "token")
-    ordinary = samples.select(F.explode(F.split("text", r"[^A-Za-z_]+")).alias("token")).select(F.lit("ordinary").alias("kind"), "token")
+    ordinary = samples.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("token")).where(~F.regexp_like("token", F.lit("[0-9]"))).select(F.lit("ordinary").alias("kind"), "token")
+    named = spark.createDataFrame([(t,) for t in IDENTIFIERS], "token string").select(F.explode(F.array_repeat("token", IDENTIFIER_WEIGHT)).alias("token"))
+    ordinary = ordinary.union(named.select(F.lit("ordinary"), "token"))
     counted = random.union(ordinary).select("kind", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("kind", "pair").count().collect()
     counts: dict[str, dict[int, float]] = {}
     for r in counted:
