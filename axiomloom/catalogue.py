@@ -514,3 +514,65 @@ def expand_definition(spark, sf_dir):
     rows = terms.term_rows(_term_table(t)).select("id", F.col("text definition").alias("text"))
     labels = t.region.select(F.col("r_name").alias("label"), F.concat(F.lit(OBO_BASE + "REGION_"), F.col("r_regionkey").cast("string")).alias("iri"))
     return terms.expand_definitions(rows, labels, spark.createDataFrame([], "prefix string, namespace string"), OBO_BASE).select("id", "expanded", F.col("missing").cast("int").alias("missing"))
+
+
+@query("""SELECT DISTINCT 'customer/' || c_custkey AS ind, 'urgent builder' AS cls FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT'""")
+def recognised_classes(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    types = t.customer.select(iri("customer", "c_custkey").alias("ind"), F.concat(F.lit("segment/"), "c_mktsegment").alias("cls")).union(t.orders.select(iri("orders", "o_orderkey"), F.concat(F.lit("priority/"), "o_orderpriority")))
+    definition = spark.createDataFrame([("urgent builder", 1, None, "segment/BUILDING"), ("urgent builder", 2, "placed", "priority/1-URGENT")], "cls string, part int, prop string, filler string")
+    return inference.recognised(types, _placed(t), definition)
+
+
+@query("""WITH s AS (SELECT DISTINCT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey), p AS (SELECT DISTINCT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40)
+SELECT 'supplier/' || s_suppkey AS ind, 'nation/' || s_nationkey AS cls FROM s UNION SELECT 'supplier/' || s_suppkey, 'region/' || n_regionkey FROM s
+UNION SELECT 'supplier/' || s_suppkey, 'large' FROM s JOIN p ON l_suppkey = s_suppkey WHERE n_regionkey = 1""")
+def reasoned_types(spark, sf_dir):
+    """The reasoner over suppliers: their nations' regions, and a class defined by what they supply."""
+    from .functions import manchester
+    from .operators.reason import Reasoner
+    from .schema import AXIOM, EXPRESSION
+
+    t = Tables(spark, sf_dir)
+    key, rows = manchester.flatten(manchester.parse_class("region/1 and supplies some big"))
+    row = lambda kind, a1, a2, a3=None: (F.lit(kind).alias("axiom_type"), a1.alias("a1"), a2.alias("a2"), (F.lit(None).cast("string") if a3 is None else a3).alias("a3"))
+    nation, region, supplier = iri("nation", "n_nationkey"), iri("region", "n_regionkey"), iri("supplier", "s_suppkey")
+    sold = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where("p_size > 40").select("l_suppkey").distinct()
+    parts = [
+        t.nation.select(*row("Declaration", nation, F.lit("class"))), t.nation.select(*row("Declaration", region, F.lit("class"))).distinct(), t.nation.select(*row("SubClassOf", nation, region)),
+        t.supplier.select(*row("Declaration", supplier, F.lit("indiv"))), t.supplier.select(*row("ClassAssertion", supplier, iri("nation", "s_nationkey"))),
+        sold.select(*row("ObjectPropertyAssertion", iri("supplier", "l_suppkey"), F.lit("supplies"), F.lit("a big part"))),
+        spark.range(1).select(*row("ClassAssertion", F.lit("a big part"), F.lit("big"))), spark.range(1).select(*row("Declaration", F.lit("large"), F.lit("class"))),
+    ]
+    axioms = _union(*parts).withColumn("operands", F.lit(None).cast("array<string>")).unionByName(spark.range(1).select(F.lit("EquivalentClasses").alias("axiom_type"), *[F.lit(None).cast("string").alias(c) for c in ("a1", "a2", "a3")], F.array(F.lit("large"), F.lit(key)).alias("operands")))
+    axioms = axioms.withColumns({"axiom_id": F.sha2(F.concat_ws("|", "axiom_type", "a1", "a2", "a3", F.array_join("operands", ",")), 256), "ontology_iri": F.lit("suppliers"), "negative": F.lit(False), "datatype": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "ax_annotations": F.lit(None).cast("array<string>"), "inferred": F.lit(False)})
+    expressions = spark.createDataFrame([tuple(r[f] for f in EXPRESSION.fieldNames()) for r in rows], EXPRESSION)
+    return Reasoner(axioms.select(*AXIOM.fieldNames()), expressions).types()
+
+
+@query("""SELECT 'region/' || r_regionkey AS seed, 1 + count(n_nationkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def signature_size(spark, sf_dir):
+    """How many entities a module's signature has for each seed."""
+    t = Tables(spark, sf_dir)
+    down = _edge(t.nation, iri("region", "n_regionkey"), iri("nation", "n_nationkey"))
+    reached = walk.closure(down, t.region.select(iri("region", "r_regionkey").alias("start")), include_start=True)
+    return reached.groupBy(F.col("start").alias("seed")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'placed' AS a1, x AS axiom_type FROM (VALUES ('TransitiveObjectProperty'), ('FunctionalObjectProperty')) v(x)""")
+def property_characteristics(spark, sf_dir):
+    rows = spark.createDataFrame([("placed", "TransitiveObjectProperty"), ("placed", "FunctionalObjectProperty"), ("placed", "ObjectPropertyDomain"), ("other", "SymmetricObjectProperty")], "a1 string, axiom_type string")
+    return rows.where(F.col("axiom_type").isin(*store.CHARACTERISTICS) & (F.col("a1") == "placed"))
+
+
+@query(f"""WITH {GRAMS}, f AS (SELECT a.text AS term, b.text AS text, CASE WHEN max((a.whole AND b.whole)::INT) = 1 THEN 'Full' ELSE 'Partial' END AS match FROM g a JOIN g b ON a.gram = b.gram WHERE a.text LIKE '%blue%' GROUP BY a.text, b.text),
+ d AS (SELECT p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS definitions FROM part GROUP BY p_name) SELECT term, text, match, text AS labels, definitions FROM f JOIN d ON p_name = text""")
+def find_entities_report(spark, sf_dir):
+    """Search results with each entity's labels and definitions."""
+    from .schema import DEFINITION
+
+    p = Tables(spark, sf_dir).part
+    subject = F.concat(F.lit("name/"), "p_name").alias("subject")
+    notes = p.select(subject, F.lit(LABEL).alias("prop"), F.col("p_name").alias("value")).union(p.select(subject, F.lit(DEFINITION).alias("prop"), F.col("p_type").alias("value"))).distinct()
+    found = search.find_entities(p.where("p_name like '%blue%'").select(F.col("p_name").alias("term")), search.build_index(notes))
+    return search.decorated(found, notes, DEFINITION).select("term", "text", "match", "labels", "definitions")

@@ -1,11 +1,17 @@
-"""Where iterative operators cut their lineage."""
+"""Where iterative operators cut their lineage: tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: This process's folder under each checkpoint folder, removed when the process ends.
+_OWN = f"axiomloom-{uuid.uuid4().hex}"
+_used: dict[str, SparkSession] = {}
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
@@ -17,7 +23,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _remove() -> None:
+    for folder, spark in _used.items():
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001, S110 -- the session may be gone; what is left is only disk space
+            pass
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder, from where lost executors' parts are read again."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once, written to the checkpoint folder and read back.
+
+    Lineage ends at the files, which every executor can read again, and their size is known
+    to the planner, so small intermediate results are broadcast without a hint.
+    """
+    spark = df.sparkSession
+    own = f"{checkpoint_folder(spark)}/{_OWN}"
+    if not _used:
+        atexit.register(_remove)
+    _used[own] = spark
+    path = f"{own}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

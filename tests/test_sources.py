@@ -100,3 +100,33 @@ def test_load(spark, tmp_path):
     assert {r.axiom_id for r in axioms.collect()} == set(doc.axioms) and expressions.count() == len(doc.expressions)
     with pytest.raises(rdf.RDFError):
         rdf.parse_turtle("x:y a z:w .")
+
+
+class Answer:
+    def __init__(self, status, location=None):
+        self.status, self.headers = status, {"Location": location} if location else {}
+
+
+def test_redirects():
+    from axiomloom.sources import net
+
+    pages = {"/a": Answer(302, "/b"), "/b": Answer(301, "https://other.example/c"), "/c": Answer(200), "/x": Answer(302, "/x"), "/gone": Answer(404)}
+
+    class Fake:
+        def __init__(self, scheme, host):
+            self.path = None
+
+        def request(self, method, path):
+            assert method == "HEAD"
+            self.path = path
+
+        def getresponse(self):
+            return pages[self.path]
+
+    assert net.final_url("http://one.example/a", Fake) == "https://other.example/c"
+    with pytest.raises(net.ConnectionFailError):
+        net.final_url("http://one.example/x", Fake)
+    with pytest.raises(net.NotFoundError):
+        net.final_url("http://one.example/gone", Fake)
+    with pytest.raises(net.ConnectionFailError):
+        net.head("ftp://one.example/a")
