@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share; a temporary folder only where it is unset (tests, a laptop)."""
-    set_for_cluster = spark.conf.get("spark.checkpoint.dir", "")
-    if set_for_cluster:
-        return set_for_cluster
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axiomloom-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+from ..plans.checkpoints import checkpoint_folder
 
 
 def cut(df: DataFrame) -> DataFrame:

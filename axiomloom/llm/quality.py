@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 BITS = 18
 #: Rated documents that training reads (expected number), and in how many of them a feature must occur.
 SAMPLE_DOCS, MIN_DOCS = 6000, 5
-GRADES, ROUNDS, RIDGE, RATE = 3, 150, 2e-4, 0.05
+GRADES, ROUNDS, RIDGE, RATE = 3, 150, 1e-3, 0.05
 _EDGE = ".,;:!?()[]{}\"'*#$%&|-_=<>/\\"
 
 
