@@ -8,6 +8,8 @@ containment however unequal the two texts are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from .common import cut, pieces, words
 WIDTH = 5
 #: One hash in so many is retained.
 SCALE = 8
-ROWS_PER_BUCKET = 2000
+#: Rows of a range of ids, and how many ranges there are at most.
+ROWS_PER_BUCKET, MOST_RANGES = 2000, 1 << 16
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
@@ -55,6 +58,18 @@ def resemblance(a, b):
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def _place(key, cuts: list[int]):
+    """Column: how many of the ascending ``cuts`` are below ``key``; found in two steps of about ``sqrt(len(cuts))`` comparisons."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts)) + 1
+    chunks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < key))
+    over = below(F.lit([c[-1] for c in chunks]).cast("array<bigint>"))
+    inside = F.get(F.array(*[F.lit(c).cast("array<bigint>") for c in chunks]), over)
+    return F.least(over * step + below(F.coalesce(inside, F.array().cast("array<bigint>"))), F.lit(len(cuts)))
+
+
 def with_next(df: DataFrame, key: str, carry: list[str], tie: list) -> DataFrame:
     """``df`` with ``next_<c>`` for each ``c`` of ``carry``: the value in the next row by ``key``, after the last the first's.
 
@@ -62,19 +77,20 @@ def with_next(df: DataFrame, key: str, carry: list[str], tie: list) -> DataFrame
     of each range also goes to the range before it. ``tie`` orders rows of equal keys.
     """
     spark = df.sparkSession
-    n = pieces(df.select(key).count(), ROWS_PER_BUCKET, spark)
-    cuts = df.select(F.percentile_approx(key, [k / n for k in range(1, n)], 10_000)).first()[0] or []
+    n = min(pieces(df.select(key).count(), ROWS_PER_BUCKET, spark), MOST_RANGES)
+    cuts = df.select(F.percentile_approx(key, [k / n for k in range(1, n)], 4 * max(n, 2_500))).first()[0] or []
     cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.lit(cuts).cast("array<long>") if cuts else F.array().cast("array<long>"), lambda b: b < F.col(key)))
+    place = _place(F.col(key), cuts)
     firsts = sorted((r["place"], r["k"]) for r in df.groupBy(place.alias("place")).agg(F.min(key).alias("k")).collect())  # one row for each range
+    first, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for i, (p, k) in enumerate(firsts):
+        first[p], before[p] = k, firsts[i - 1][0]
     df = df.withColumn("__place", place)
-    ghosts = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
+    at = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>") if any(v is not None for v in values) else F.array(F.lit(None).cast(kind)), F.col("__place") + 1)
     own = F.struct(F.col("__place").alias("place"), F.lit(False).alias("ghost"))
-    to = F.array(own)
-    if ghosts:
-        before = F.element_at(F.create_map(*[F.lit(x).cast(t) for k, p in ghosts.items() for x, t in ((k, "long"), (p, "int"))]), F.col(key))
-        to = F.when(F.col(key).isin(list(ghosts)), F.array(own, F.struct(before.alias("place"), F.lit(True).alias("ghost")))).otherwise(to)
-    df = df.withColumn("__to", F.explode(to)).withColumns({"__place": F.col("__to.place"), "__ghost": F.col("__to.ghost")}).drop("__to")
+    ghost = F.struct(at(before, "int").alias("place"), F.lit(True).alias("ghost"))
+    df = df.withColumn("__to", F.explode(F.when(F.col(key) == at(first, "long"), F.array(own, ghost)).otherwise(F.array(own))))
+    df = df.withColumns({"__place": F.col("__to.place"), "__ghost": F.col("__to.ghost")}).drop("__to")
     # one window for all of them, so that the texts are dealt out once
     w = Window.partitionBy("__place").orderBy("__ghost", key, *tie)
     df = df.withColumns({f"next_{c}": F.lead(c).over(w) for c in carry})
