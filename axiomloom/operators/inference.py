@@ -18,8 +18,9 @@ from .store import difference
 
 def upper(told: DataFrame) -> DataFrame:
     """``(sub, sup)``: the reflexive and transitive closure of ``told(src, dst)`` over all its nodes."""
-    nodes = told.select(F.col("src").alias("start")).union(told.select("dst")).distinct()
-    return closure(told, nodes, include_start=True).select(F.col("start").alias("sub"), F.col("node").alias("sup"))
+    nodes = told.select(F.col("src").alias("sub")).union(told.select("dst")).distinct().where("sub is not null")
+    above = closure(told).where("start <> node").select(F.col("start").alias("sub"), F.col("node").alias("sup"))
+    return above.union(nodes.select("sub", F.col("sub").alias("sup")))
 
 
 def inferred_types(types: DataFrame, told: DataFrame) -> DataFrame:
