@@ -104,3 +104,13 @@ def test_streamed_types(spark, tmp_path):
     q.awaitTermination(120)
     batch = inference.inferred_types(spark.createDataFrame([("i", "A"), ("j", "B")], "ind string, cls string"), told)
     assert {tuple(r) for r in deltas.current_types(spark, str(tmp_path / "out")).collect()} == {tuple(r) for r in batch.collect()}
+
+
+def test_streamed_counts(spark, tmp_path):
+    rows = [("2026-01-01 00:01:00", "a"), ("2026-01-01 00:02:00", "a"), ("2026-01-01 00:12:00", "b"), ("2026-01-01 02:00:00", "a")]
+    df = spark.createDataFrame(rows, "ts string, k string").select(F.to_timestamp("ts").alias("ts"), "k")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = deltas.stream_counts(stream, "ts", "k").writeStream.format("memory").queryName("streamed_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.key, r.n, r.start.minute, r.start.hour) for r in spark.table("streamed_counts").collect()} == {("a", 2, 0, 0), ("b", 1, 10, 0), ("a", 1, 0, 2)}
