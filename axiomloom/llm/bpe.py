@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and token pairs held in each worker's memos before they start afresh, and the longest piece held.
-MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 200_000, 400_000, 64
-_OUT_TOKENS = 1 << 20
+MEMO_PIECES, MEMO_PAIRS, MEMO_BYTES = 400_000, 500_000, 64
+_OUT_TOKENS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,27 +185,40 @@ def vocabulary(spark, path: str, pattern: str) -> Vocabulary:
     return Vocabulary(spark.sparkContext.broadcast((ranks, pattern)), f"{path} {len(ranks)} {pattern}")
 
 
-def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, ids)`` and the columns ``keep`` for each row: the tokens of the whole text. Null texts are empty, which have no tokens."""
+def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: str = "", exact: str = "") -> DataFrame:
+    """``(doc_id, *keep, ids)`` for each row: the tokens of the whole text. Null texts are empty, which have no tokens.
+
+    ``decoded`` and ``exact`` name further columns: what the tokens decode to (binary), and
+    whether that is the text. They are made in the same pass, as a second one would
+    double the number of Python workers.
+    """
 
     def run(batches):
         coder = _worker_coder(vocab)
         for batch in batches:
             names = [n for n in batch.schema.names if n != "__text"]
-            texts, raw, start, held = batch.column(1), [], 0, 0
+            texts, raw, back, same, start, held = batch.column(1), [], [], [], 0, 0
             for k in range(batch.num_rows):
-                raw.append(coder.encode_raw(texts[k].as_py() or ""))
+                text = texts[k].as_py() or ""
+                raw.append(coder.encode_raw(text))
                 held += len(raw[-1]) // 4
+                if decoded or exact:
+                    data = coder.decode(array("i", raw[-1]))
+                    if decoded:
+                        back.append(data)
+                    if exact:
+                        same.append(data == text.encode("utf-8", "surrogatepass"))
                 if held >= _OUT_TOKENS or k == batch.num_rows - 1:
                     own = batch.slice(start, k + 1 - start)
                     ends = pa.array([0, *accumulate(len(r) // 4 for r in raw)], pa.int32())
                     ids = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), held, [None, pa.py_buffer(b"".join(raw))]))
-                    yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), ids], names=[*names, "ids"])
-                    raw, start, held = [], k + 1, 0
+                    more = [(decoded, pa.array(back, pa.binary()))] * bool(decoded) + [(exact, pa.array(same, pa.bool_()))] * bool(exact)
+                    yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), ids, *(c for _, c in more)], names=[*names, "ids", *(n for n, _ in more)])
+                    raw, back, same, start, held = [], [], [], k + 1, 0
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>")
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>" + f", `{decoded}` binary" * bool(decoded) + f", `{exact}` boolean" * bool(exact))
 
 
 def decode_tokens(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -31,7 +31,7 @@ def tokenizer():
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = bpe.vocabulary(spark, *tokenizer())
-    coded = bpe.decode_tokens(bpe.encode_texts(_table(spark, sf_dir, "documents"), vocab), vocab)
+    coded = bpe.encode_texts(_table(spark, sf_dir, "documents"), vocab, decoded="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

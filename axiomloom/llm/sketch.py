@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, words
+from .common import pieces, words
 
 WIDTH = 5
 #: One hash in so many is retained.

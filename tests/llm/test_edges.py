@@ -102,6 +102,8 @@ def test_bpe(odd, none, spark):
     for r in coded.collect():
         assert bytes(r.decoded) == (r.text or "").encode() and (len(r.ids) == 0) == (not r.text)
     assert bpe.encode_texts(none, vocab).count() == 0
+    both = bpe.encode_texts(odd, vocab, keep=("text",), decoded="back", exact="same").collect()
+    assert all(r.same and bytes(r.back) == (r.text or "").encode() for r in both) and len(both) == len(ROWS)
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode_tokens(nulls, vocab).collect()} == {1: None, 2: b""}
 
