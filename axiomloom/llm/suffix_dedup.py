@@ -165,7 +165,8 @@ def passage_classes(text: Text, key: np.ndarray, at: np.ndarray, length: np.ndar
         first[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
         head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
         same = (length[head] == length[order]) & (extra[head] == extra[order])
-        same[same] = text.equal(at[head[same]], at[order[same]], length[order[same]])
+        later = np.flatnonzero(same & ~first)
+        same[later] = text.equal(at[head[later]], at[order[later]], length[order[later]])
         if same.all():
             return order, first
         own[order[~same]] += _MIX
