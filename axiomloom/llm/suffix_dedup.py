@@ -23,6 +23,8 @@ Copies of a whole document are found by digest first and take no part in the res
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -175,14 +177,16 @@ def passage_classes(text: Text, key: np.ndarray, at: np.ndarray, length: np.ndar
 class Group:
     """The documents of one group: their strings, anchors and passages."""
 
-    def __init__(self, table: pa.Table, copies: set[int], buckets: int, code_bytes: int):
+    def __init__(self, table: pa.Table, copies: set[tuple[int, bytes]], buckets: int, code_bytes: int):
         ids, texts = table.column("key").to_pylist(), table.column("data").to_pylist()
         rows = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.keys = rows, np.array([ids[i] for i in rows], np.int64)
         sizes = np.array([len(texts[i]) for i in rows], np.int64)
         self.ends = np.cumsum(sizes)
         self.starts, self.buckets, self.shift = self.ends - sizes, _U(buckets), _U(64 - 8 * code_bytes)
-        self.copy = np.isin(self.keys, np.fromiter(copies, np.int64, len(copies))) if copies else np.zeros(len(rows), bool)
+        # by text, not by id alone: of the rows of one id (or of none) some may be copies and others not
+        copied = {k for k, _ in copies}
+        self.copy = np.array([ids[i] in copied and (ids[i], hashlib.sha256(texts[i]).digest()) in copies for i in rows], bool)
         self.text = Text(b"".join([texts[i] for i in rows]))
         n = len(self.text.data)
         # strings that begin at a place: not in copies, none over a document's end
@@ -356,8 +360,9 @@ def answer_passages(table: pa.Table) -> pa.Table:
     return pa.table({"gid": table.column("gid"), "bucket": table.column("bucket"), "flags": table.column("flags"), "least": pa.array(out_least, pa.binary()), "runs": pa.array(out_runs, pa.binary())})
 
 
-def _copies(side: pa.Table) -> set[int]:
-    return set(x for x, b in zip(side.column("copy").to_pylist(), side.column("bucket").to_pylist(), strict=True) if b is None)
+def _copies(side: pa.Table) -> set[tuple[int, bytes]]:
+    own = side.filter(pc.is_null(side.column("bucket")))
+    return set(zip(own.column("copy").to_pylist(), own.column("flags").to_pylist(), strict=True))
 
 
 def _split(side: pa.Table) -> pa.Table:
@@ -382,13 +387,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups, buckets = pieces(total, GROUP_BYTES, spark), pieces(total, BUCKET_BYTES, spark)
     # with 10 bits over the number of bytes, hardly an anchor shares its code by chance
     code_bytes = min(8, -(-(total.bit_length() + 10) // 8))
-    gid = F.pmod(F.xxhash64("key", F.lit(50)), F.lit(groups))
+    # rows without an id share a key, so their texts deal them
+    gid = lambda digest: F.pmod(F.when(F.col("key") == (1 << 63) - 1, F.xxhash64(digest, F.lit(50))).otherwise(F.xxhash64("key", F.lit(50))), F.lit(groups))
     first = cut(known.where(F.col("n_bytes") >= LENGTH).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = known.join(first, "digest").where(F.col("key") > F.col("first")).select("key").distinct()
-    copies = cut(copies.withColumn("gid", gid))
-    base = base.withColumn("gid", gid)
+    copies = known.join(first, "digest").where(F.col("key") > F.col("first")).select("key", "digest").distinct()
+    copies = cut(copies.withColumn("gid", gid(F.col("digest"))))
+    base = base.withColumn("gid", gid(F.sha2("data", 256)))
     none = lambda name: F.lit(None).cast("binary").alias(name)
-    copy_rows = copies.select("gid", F.lit(None).cast("long").alias("bucket"), F.col("key").alias("copy"), none("flags"), none("least"), none("runs"))
+    copy_rows = copies.select("gid", F.lit(None).cast("long").alias("bucket"), F.col("key").alias("copy"), F.unhex("digest").alias("flags"), none("least"), none("runs"))
 
     def send_codes(_, left, right):
         b, codes, numbers = Group(left, _copies(right), buckets, code_bytes).codes(code_bytes) if left.num_rows else (np.zeros(0, np.int64), [], [])

@@ -64,6 +64,18 @@ def test_repeats_random(spark):
         assert got == sorted(w[:4] for w in brute.repeats(rows))
 
 
+def test_repeats_copies_of_shared_keys(spark):
+    """A row that copies a document takes no other text of its id (or of no id) with it."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(1)), (5, text(4)), (6, f"{text(4)} and more"), (7, None), (None, None)]
+    rows += [(None, f"{text(9 + k)} {text(1)}") for k in range(20)]
+    found = suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    import hashlib
+
+    got = sorted(((r.doc_id, r.n_bytes, sum(x["end"] - x["start"] for x in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in found), key=repr)
+    assert got == sorted(brute.repeats(rows), key=repr)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     data = bytes(rng.integers(97, 99, 600, dtype=np.uint8)) + bytes(range(60)) * 2 + b"z" * 60
