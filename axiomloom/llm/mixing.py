@@ -80,8 +80,8 @@ def _edge(parts: DataFrame, keys: list[str], cell) -> DataFrame:
     return passed.groupBy(*keys).agg(F.min(F.struct("cell", (F.col("need") - (F.col("upto") - F.col("words"))).alias("need"))).alias("e")).select(*keys, "e.cell", "e.need")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of ``docs``.
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, copies, taken)`` for each row of ``docs``, then ``kept``, a struct of ``keep``, if any is asked for.
 
     ``copies`` is how often the mix takes the document (0 to ``max_repeat``), ``taken`` the
     words that makes. Rows with equal ids are equal in rank; among them, those of fewer
@@ -89,10 +89,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
     A null id has one fixed random number. Null texts have no words; documents without
     words take ``floor(target / source_size)`` copies and no words. A source without any
     words has target 0. An empty table gives an empty result. Clashing names of other
-    columns don't matter: only the three named columns are read.
+    columns don't matter: only the three named columns and ``keep`` are read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    base = cut(base.withColumn("doc_weight", F.col("size") / (F.col("size") + F.lit(HALF_WEIGHT_WORDS))).withColumn("u", _uniform(F.col("doc_id"))))
+    held = [F.struct(*keep).alias("kept")] if keep else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *held)
+    whole = base.withColumn("doc_weight", F.col("size") / (F.col("size") + F.lit(HALF_WEIGHT_WORDS))).withColumn("u", _uniform(F.col("doc_id")))
+    # what is kept is read once, at the end; all sums are over the rest
+    base = cut(whole.drop("kept"))
     # integer sums only, so that results don't depend on the order of addition
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("doc_weight") * F.col("size") * 1024).cast("long")).alias("weighted"))
     totals = cut(sizes)
@@ -102,13 +105,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
     plan = plan.withColumn("whole", F.floor(factor)).withColumn("need", F.col("target") - F.floor(factor) * F.col("source_size"))
     plan = plan.withColumn("rate", F.when(F.col("weighted") > 0, F.col("need") * 1024 / F.col("weighted")).otherwise(F.lit(0.0)))
     plan = cut(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "need", "rate"))
-    rows = base.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = F.broadcast(plan) if plan.count() <= 10_000 else plan
     p = F.least(F.lit(1.0), F.col("rate") * F.col("doc_weight"))
     # rank / (1 + rate-free rank): increases with the Pareto rank and lies in [0, 1]
     odds = F.col("u") / (1 - F.col("u")) * ((1 - p) / p)
     rank = F.when(p <= 0, F.lit(1.0)).otherwise(odds / (1 + odds))
-    rows = rows.withColumn("rank", rank)
-    open_rows = rows.where((F.col("size") > 0) & (F.col("need") > 0)).select("source", "doc_id", "size", "need", "rank")
+    ranked = lambda rows: rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rank", rank)
+    open_rows = ranked(base).where((F.col("size") > 0) & (F.col("need") > 0)).select("source", "doc_id", "size", "need", "rank")
     fine = F.floor(F.col("rank") * CELLS * CELLS)
     coarse_of, fine_of = F.least(F.floor(fine / CELLS), F.lit(CELLS - 1)), F.pmod(fine, F.lit(CELLS))
     edge1 = cut(_edge(open_rows, ["source"], coarse_of))
@@ -127,11 +130,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, id_col:
     bounds = e1.join(e2.withColumnRenamed("s2", "x"), F.col("s1").eqNullSafe(F.col("x")), "left").drop("x")
     bounds = bounds.join(cutoff.withColumnRenamed("source", "x"), F.col("s1").eqNullSafe(F.col("x")), "left").select("s1", "cell1", "cell2", "upto")
     bounds = cut(bounds)
-    rows = rows.withColumn("coarse", coarse_of).withColumn("fine", fine_of)
+    rows = ranked(whole if keep else base).withColumn("coarse", coarse_of).withColumn("fine", fine_of)
     rows = rows.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, F.col("source").eqNullSafe(F.col("s1")), "left")
     own = F.struct(F.col("rank"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.col("size"))
     at_edge = (F.col("coarse") == F.col("cell1")) & (F.col("fine") == F.col("cell2"))
     inside_edge = F.when(F.col("cell1").isNull(), F.lit(True)).when(F.col("coarse") != F.col("cell1"), F.col("coarse") < F.col("cell1")).when(F.col("cell2").isNull(), F.lit(True)).when(~at_edge, F.col("fine") < F.col("cell2")).otherwise(F.coalesce(own <= F.col("upto"), F.lit(False)))
     extra = F.when((F.col("size") > 0) & (F.col("need") > 0) & inside_edge, 1).otherwise(0)
     copies = (F.col("whole") + extra).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["kept"] if keep else []))
