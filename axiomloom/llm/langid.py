@@ -120,9 +120,10 @@ def identify(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *keep, lang_pred, score, languages)`` for each row; only the text is looked at.
+    """``(doc_id, *keep, lang_pred, score, share, languages)`` for each row; only the text is looked at.
 
-    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.
+    ``share`` is the prediction's proportion in the selected set, 1 if it is alone there.
+    ``und`` with score and share 0 if the text is null or has no letter, or if nothing was learned.
     ``languages`` lists the selected set with proportions, as ``en:0.71 fr:0.29``.
     """
     langs, table = model
@@ -134,10 +135,10 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             found = [identify(t.as_py(), langs, table) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([" ".join(f"{g}:{s:.2f}" for g, s in f[2]) for f in found], pa.string())],
-                names=[*batch.schema.names[1:], "lang_pred", "score", "languages"],
+                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2][0][1] if f[2] else 0.0 for f in found], pa.float64()), pa.array([" ".join(f"{g}:{s:.2f}" for g, s in f[2]) for f in found], pa.string())],
+                names=[*batch.schema.names[1:], "lang_pred", "score", "share", "languages"],
             )
 
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages string")
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, share double, languages string")

@@ -42,3 +42,24 @@ def test_mix_sources_rows(spark, rows):
     for (i, t, _, s, _), n in got.items():
         have[i, s, len((t or "").split())] += n
     assert have == twice
+
+
+def test_identify_languages_losses(spark, sf_dir):
+    """Only texts without a known language, or of several of which none has half, may be lost; a low share of all candidates is no reason."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    every = docs.select(*corpus_pipeline.COLUMNS).collect()
+    # short pieces of the texts: some are in one language, at under half of the mixture of all
+    every += [(100_000 + 1000 * k + i, r.text[i : i + 12], r.lang, r.source, 12) for k, r in enumerate(every[:60]) for i in range(0, min(240, len(r.text or "")), 12)]
+    table = spark.createDataFrame(every, SCHEMA)
+    old, langid.train = langid.train, lambda _: model
+    try:
+        got = {r.doc_id for r in corpus_pipeline.identify_languages(spark, table, "").collect()}
+    finally:
+        langid.train = old
+    low = 0
+    for i, text, *_ in every:
+        pred, score, found = langid.identify(text, *model)
+        assert (i in got) == (pred != langid.UNKNOWN and (len(found) == 1 or found[0][1] >= 0.5)), i
+        low += pred != langid.UNKNOWN and len(found) == 1 and score < 0.5
+    assert low
