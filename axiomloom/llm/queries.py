@@ -76,8 +76,8 @@ QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op
 #: The contracts that DuckDB can state. Of the others, hashes (XXH64), tokenising and trained models have no SQL; tests/llm holds them against brute force.
 ORACLE_SQL = {
     "op2_source_mixing": """
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
-b AS (SELECT *, size / (size + 20) AS doc_weight, (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM d),
+WITH RECURSIVE d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+b AS (SELECT *, size / (size + 20) AS doc_weight, (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || sha256(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(trunc(doc_weight * size * 1024)::BIGINT)::BIGINT AS weighted FROM b GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1)::INT % 3] AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source COLLATE "C" NULLS LAST) AS k FROM w),
@@ -89,7 +89,7 @@ p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(t
  CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE target END AS need, weighted FROM t),
 r AS (SELECT b.*, p.source_size, p.target, p.whole, p.need, least(1.0, CASE WHEN p.weighted > 0 THEN p.need * 1024 / p.weighted ELSE 0.0 END * doc_weight) AS pi FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source),
 q AS (SELECT *, CASE WHEN pi <= 0 THEN 1.0 ELSE (u / (1 - u) * ((1 - pi) / pi)) / (1 + u / (1 - u) * ((1 - pi) / pi)) END AS rank FROM r),
-c AS (SELECT *, sum(CASE WHEN size > 0 AND need > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY (size > 0 AND need > 0) DESC, rank, doc_id NULLS FIRST, size) AS upto FROM q)
+c AS (SELECT *, sum(CASE WHEN size > 0 AND need > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY (size > 0 AND need > 0) DESC, rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
 SELECT doc_id, size, source_size, target, (whole::BIGINT + e) * size AS taken, whole::BIGINT + e AS copies
 FROM (SELECT *, CASE WHEN size > 0 AND need > 0 AND (upto <= need OR upto - need <= need - (upto - size)) THEN 1 ELSE 0 END AS e FROM c)""",
     "op1_suffix_array_dedup": """

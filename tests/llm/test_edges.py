@@ -108,6 +108,28 @@ def test_mixing_hot_source(spark):
     assert all(abs(r.taken - r.target) <= 20 for r in sums)
 
 
+def test_mixing_ties(spark):
+    """Rows without an id, and repeated rows, are taken one by one: each source lands within one document of its target."""
+    df = spark.range(4000).select(F.when(F.col("id") % 5 == 0, F.lit(7)).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("w "), 9), F.lit("end ")).alias("text"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"))
+    unlike = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.repeat(F.lit("w "), (F.col("id") % 11).cast("int")), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 2 > 0, "t").alias("source"))
+    both = df.union(unlike).repartition(5)
+    got = mixing.mix(both, keep=("text",))
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    assert len(sums) == 5 and all(abs(r.taken - r.target) <= r.most / 2 + 1e-6 for r in sums), sums
+    assert got.count() == 7000 and got.agg(F.max("copies")).first()[0] <= 3
+    count = lambda d: sorted(map(repr, d.groupBy("doc_id", "source", "size", "copies").count().collect()))
+    assert count(got) == count(mixing.mix(both.repartition(2)))
+
+
+def test_targets_of_many_sources(spark):
+    """Sources in several ranges: numbered over them all, and shared out as the plain version does."""
+    rng = np.random.default_rng(12)
+    sizes = {f"s{i}": int(2 ** rng.integers(0, 30)) for i in range(200)} | {None: 5, "zero": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(4)
+    want = brute.targets(sizes)
+    assert {r.source: pytest.approx(r.target) for r in mixing.source_targets(df).collect()} == want
+
+
 def test_bpe(odd, none, spark):
     vocab = bpe.vocabulary(spark, *queries.tokenizer())
     coded = bpe.decode_tokens(bpe.encode_texts(odd, vocab, keep=("text",)), vocab)
