@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets of the trigrams, texts sampled for each language (expected number), most languages in one EM.
-BUCKET_BITS, SAMPLE_DOCS, CANDIDATES = 15, 4000, 8
+#: Hash buckets of the trigrams, texts sampled for each language (expected number).
+BUCKET_BITS, SAMPLE_DOCS = 15, 4000
 PENALTY, MIN_SHARE, ROUNDS, SMOOTH = 12.0, 0.1, 25, 0.05
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -91,7 +91,7 @@ def proportions(like: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def identify(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, float, list[tuple[str, float]]]:
-    """``(language, score, selected languages with proportions)``; the score is the language's share in the mixture of all candidates."""
+    """``(language, score, selected languages with proportions)``; the score is the language's share in the mixture of all languages."""
     if not langs or not has_letter(text):
         return UNKNOWN, 0.0, []
     counts = trigram_counts(text)
@@ -100,8 +100,6 @@ def identify(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str
         return UNKNOWN, 0.0, []
     n, logs = counts[own].astype(np.float64), table[own].astype(np.float64)
     single = n @ logs
-    near = np.sort(np.argsort(-single, kind="stable")[:CANDIDATES])
-    logs, single = logs[:, near], single[near]
     top = logs.max(1)
     like = np.exp(logs - top[:, None])
     full, _ = proportions(like, n)
@@ -115,7 +113,7 @@ def identify(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str
             break
         chosen, share, best = [*chosen, int(k)], new, value
     order = np.argsort(-share, kind="stable")
-    found = [(langs[near[chosen[i]]], float(share[i])) for i in order]
+    found = [(langs[chosen[i]], float(share[i])) for i in order]
     return found[0][0], float(min(1.0, max(0.0, full[chosen[order[0]]]))), found
 
 

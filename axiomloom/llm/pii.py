@@ -6,21 +6,23 @@ candidate and each base span, +1, -1 or 0 (no opinion): the shape of the notatio
 number's check digit, gazetteers of name endings and of number prefixes, and the words
 before it. Expectation-maximisation over the counted vote patterns estimates each
 labeler's reliability and each pattern's probability of being personal data (Dawid and
-Skene, 1979). A logistic span classifier is then trained on these probabilities with the
-votes and the kind as features; candidates of which it is sure are added.
+Skene, 1979). A logistic span classifier is then trained on these probabilities; it sees
+the kind, the votes, and what the labelers don't vote on: how many digits the span has,
+what parts them, and what stands before it. Candidates of which it is sure are added.
 
-Only the counts of vote patterns, at most ``4 * 3 ** 4`` rows, reach the driver.
+Only the counts of vote patterns and features, at most ``4 * 3 ** 4 * 6 * 5 * 5`` rows, reach the driver.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import by_kind, digits, find_spans, listed, luhn, overlaps, tagged
+from .spans import between, by_kind, clear_of, cut_text, digits, find_spans, let, listed, luhn, scan, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -33,7 +35,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Other notations: name (at) host (dot) ending; 1[.]2[.]3[.]4; grouped numbers without "+".
 WIDE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]{1,63}+){1,8}+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?)[A-Za-z0-9-]++)++"
     r"|(?<![0-9])[0-9]{1,3}+(?:\[\.\][0-9]{1,3}+){3}+"
     r"|(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z-])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9A-Za-z])"
@@ -46,15 +48,17 @@ AGAINST_WORDS = r"(?i)\b(?:isbn|issn|doi|order|invoice|ref|id|version|v|part|mod
 BEFORE = 24
 SURE, RIDGE = 0.9, 1e-3
 LABELERS = ("shape", "check", "gazetteer", "context")
+#: How many values each trait has.
+TRAITS = (6, 5, 5)
 
 
 def _base(text) -> dict:
     """Columns: the base spans of each kind."""
     return {
-        "email": find_spans(text, EMAIL, F.contains(text, F.lit("@"))),
-        "ip": F.filter(find_spans(text, IP, F.contains(text, F.lit("."))), lambda s: F.forall(F.split(s["hit"], r"\."), lambda p: F.regexp_like(p, F.lit("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")))),
-        "card": F.filter(find_spans(text, CARD, F.regexp_like(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}"))), lambda s: F.length(digits(s["hit"])).between(16, 19) & luhn(digits(s["hit"]))),
-        "phone": F.filter(find_spans(text, PHONE, F.contains(text, F.lit("+"))), lambda s: F.length(digits(s["hit"])).between(8, 15)),
+        "email": find_spans(text, EMAIL, F.contains(text, F.lit("@")), BEFORE),
+        "ip": F.filter(find_spans(text, IP, F.contains(text, F.lit(".")), BEFORE), lambda s: F.forall(F.split(s["hit"], r"\."), lambda p: F.regexp_like(p, F.lit("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")))),
+        "card": F.filter(find_spans(text, CARD, F.regexp_like(text, F.lit(r"[0-9](?:[\x20-]?[0-9]){15}")), BEFORE), lambda s: F.length(digits(s["hit"])).between(16, 19) & luhn(digits(s["hit"]))),
+        "phone": F.filter(find_spans(text, PHONE, F.contains(text, F.lit("+")), BEFORE), lambda s: F.length(digits(s["hit"])).between(8, 15)),
     }
 
 
@@ -70,13 +74,20 @@ def _votes(kind, hit, before):
     return [v.cast("int") for v in (shape, check, names, context)]
 
 
-def _judged(text, spans, kind_of):
-    """Column: spans with their kind and votes."""
+def _traits(hit, before):
+    """Columns: what the classifier sees beside the votes: digits by threes, what parts them, what the sign before is."""
+    count = F.least(F.floor(F.length(digits(hit)) / 3), F.lit(5))
+    part = F.when(F.contains(hit, F.lit("(")) | F.contains(hit, F.lit("[")) | F.contains(hit, F.lit("{")), 4).when(F.contains(hit, F.lit(" ")), 3).when(F.contains(hit, F.lit("-")), 2).when(F.contains(hit, F.lit(".")), 1).otherwise(0)
+    sign = F.when(F.regexp_like(before, F.lit(r"[:=]\x20*$")), 4).when(F.regexp_like(before, F.lit(r"\p{L}\x20*$")), 3).when(F.regexp_like(before, F.lit(r"[0-9]\x20*$")), 2).when(F.regexp_like(before, F.lit(r"[^\s]\s*$")), 1).otherwise(0)
+    return [t.cast("int") for t in (count, part, sign)]
+
+
+def _judged(spans, kind_of):
+    """Column: spans with their kind, votes and traits."""
 
     def one(s):
         kind = kind_of(s)
-        before = F.substring(text, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
-        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*_votes(kind, s["hit"], before)).alias("votes"))
+        return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.array(*_votes(kind, s["hit"], s["before"])).alias("votes"), F.array(*_traits(s["hit"], s["before"])).alias("traits"))
 
     return F.transform(spans, one)
 
@@ -114,21 +125,22 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 50)
     return post, right, prior
 
 
+def one_hot(kind: str, votes, traits) -> list[float]:
+    """The classifier's features: votes, kind, traits."""
+    return [float(v) for v in votes] + [float(kind == k) for k in KINDS] + [float(x == v) for x, width in zip(traits, TRAITS, strict=True) for v in range(width)]
+
+
 def span_classifier(rows: list[tuple[list[float], float, float]], rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """Weights of a logistic model (the last is the constant) from ``(features, probability, count)``."""
+    """Weights of a logistic model (the last is the constant) from ``(features, probability, count)``, by gradient descent."""
     if not rows:
         return []
-    width, total = len(rows[0][0]) + 1, sum(n for *_, n in rows)
-    w = [0.0] * width
+    x = np.array([[*f, 1.0] for f, *_ in rows])
+    p, n = np.array([p for _, p, _ in rows]), np.array([n for *_, n in rows])
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        g = [RIDGE * x for x in w]
-        for x, p, n in rows:
-            x = [*x, 1.0]
-            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True)))))) - p) * n / total
-            for i, b in enumerate(x):
-                g[i] += d * b
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return w
+        miss = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - p) * n / n.sum()
+        w -= rate * (miss @ x + RIDGE * w)
+    return w.tolist()
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -141,30 +153,31 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *[c for c in keep if c not in ("doc_id",)], text.alias("__text"))
     text = F.col("__text")
-    found = rows.withColumns({f"__{k}": v for k, v in _base(text).items()} | {"__wide": find_spans(text, WIDE)})
+    found = rows.withColumns({f"__{k}": v for k, v in _base(text).items()} | {"__wide": find_spans(text, WIDE, context=BEFORE)})
     base = F.concat(*[tagged(k, i, F.col(f"__{k}")) for i, k in enumerate(KINDS)])
-    judged = F.concat(*[_judged(text, F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS])
+    judged = F.concat(*[_judged(F.col(f"__{k}"), lambda s, k=k: F.lit(k)) for k in KINDS])
     found = found.withColumn("__base", base).withColumn("__judged", judged)
-    wide = F.filter("__wide", lambda s: ~overlaps(F.col("__base"), s["start"], s["end"]))
-    found = found.withColumn("__open", _judged(text, wide, _wide_kind))
+    found = found.withColumn("__open", _judged(clear_of(F.col("__wide"), F.col("__base")), _wide_kind))
     names = [c for c in rows.columns if c != "__text"]
     found = cut(found.select(*names, "__base", "__judged", "__open"))
-    seen = found.select(F.explode(F.concat("__judged", "__open")).alias("s")).groupBy("s.kind", "s.votes").count().collect()  # at most 4 * 3 ** 4 rows
-    counts = sorted(((tuple(r["votes"]), r["kind"], float(r["count"])) for r in seen))
+    seen = found.select(F.explode(F.concat("__judged", "__open")).alias("s")).groupBy("s.kind", "s.votes", "s.traits").count().collect()  # bounded, see above
+    counts = sorted((tuple(r["votes"]), r["kind"], tuple(r["traits"]), float(r["count"])) for r in seen)
     by_votes: dict[tuple[int, ...], float] = {}
-    for v, _, n in counts:
+    for v, *_, n in counts:
         by_votes[v] = by_votes.get(v, 0.0) + n
     post, _, _ = reliabilities(sorted(by_votes.items()))
-    w = span_classifier([([float(x) for x in v] + [float(kind == k) for k in KINDS], post[v], n) for v, kind, n in counts])
+    w = span_classifier([(one_hot(kind, v, t), post[v], n) for v, kind, t, n in counts])
     if w:
-        m = len(LABELERS)
+        m, shift = len(LABELERS), len(LABELERS) + len(KINDS)
+        of_kind = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, w[m + i])])
+        of_trait = [F.array(*[F.lit(x) for x in w[shift + sum(TRAITS[:i]) : shift + sum(TRAITS[: i + 1])]]) for i in range(len(TRAITS))]
 
         def sure(s):
-            z = F.lit(w[-1])
+            z = F.lit(w[-1]) + F.element_at(of_kind, s["kind"])
             for i in range(m):
                 z = z + F.lit(w[i]) * s["votes"][i]
-            for i, k in enumerate(KINDS):
-                z = z + F.lit(w[m + i]) * F.when(s["kind"] == k, 1.0).otherwise(0.0)
+            for i, table in enumerate(of_trait):
+                z = z + F.element_at(table, s["traits"][i] + 1)
             return z > math.log(SURE / (1 - SURE))
 
         rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
@@ -175,16 +188,19 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(text, spans):
-    """Column: ``text`` with each of ``spans`` (tagged; they may overlap) replaced by ``[KIND]``."""
+    """Column: ``text`` with each of ``spans`` (tagged; they may overlap) replaced by ``[KIND]``; null for a null text."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+    def emit(at, s, pieces):
         mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, mark).alias("out")))
+        return F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(between(pieces, at, s["start"]), mark))
+
+    def marked(pieces):
+        parts = scan(ordered, F.lit(0), "int", lambda at, s: F.greatest(at, s["end"]), lambda at, s: emit(at, s, pieces), "array<string>")
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), between(pieces, last, F.length(text)))
 
-    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, let(cut_text(text), marked)).otherwise(text)
 
 
 def digest(found: DataFrame) -> DataFrame:

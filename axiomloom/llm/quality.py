@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 BITS = 18
-#: Rated documents that training reads (expected number), and in how many of them a feature must occur.
-SAMPLE_DOCS, MIN_DOCS = 6000, 5
+#: Rated documents that training reads (expected number), the features that it takes of them at most in all, and in how many documents a feature must occur.
+SAMPLE_DOCS, SAMPLE_FEATURES, MIN_DOCS = 6000, 4_000_000, 5
+#: Cells of the sample's draw in which features are added up before they are taken.
+DRAWS = 1000
 GRADES, ROUNDS, RIDGE, RATE = 3, 150, 1e-3, 0.05
 _EDGE = ".,;:!?()[]{}\"'*#$%&|-_=<>/\\"
 
@@ -42,7 +46,8 @@ def features(text: str | None) -> list[int]:
 
 def _feature_batches(batches):
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["grade", "x"])
+        own = [np.array(features(t.as_py()), np.int32) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["grade", "draw", "n", "x"])
 
 
 def grades(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -63,7 +68,29 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))
 
 
-def fit(rows: list[list[int]], grade: np.ndarray, levels: int = GRADES) -> OrdinalModel:
+def gradient(w: np.ndarray, c: np.ndarray, row: np.ndarray, at: np.ndarray, grade: np.ndarray, ridge: float = RIDGE) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood with its ridge, and its slopes by ``w`` and ``c``.
+
+    ``row[k]`` has feature ``at[k]``. ``c`` is the first threshold and the logarithms of the
+    gaps between the others, so that they stay in order.
+    """
+    n, i = len(grade), np.arange(len(grade))
+    gaps = np.exp(c[1:])
+    cuts = c[0] + np.concatenate([[0], np.cumsum(gaps)])
+    score = np.bincount(row, w[at], minlength=n)
+    p = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50)))
+    edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+    hit = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
+    slope = edge * (1 - edge)
+    up = np.zeros_like(edge)
+    up[i, grade] += slope[i, grade] / hit
+    up[i, grade + 1] -= slope[i, grade + 1] / hit
+    by_score, by_cut = -up.sum(1) / n, up[:, 1:-1].sum(0) / n
+    loss = -np.log(hit).mean() + ridge / 2 * float(w @ w)
+    return loss, np.bincount(at, by_score[row], minlength=len(w)) + ridge * w, np.concatenate([[by_cut.sum()], [by_cut[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])
+
+
+def fit(rows: list, grade: np.ndarray, levels: int = GRADES, ridge: float = RIDGE) -> OrdinalModel:
     """The model of maximum penalised likelihood, by full-batch Adam. Without rows all grades are equally likely; with one grade only, the thresholds alone follow it."""
     if not len(grade):
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.log(np.arange(1, levels) / np.arange(levels - 1, 0, -1)))
@@ -73,47 +100,46 @@ def fit(rows: list[list[int]], grade: np.ndarray, levels: int = GRADES) -> Ordin
     at, row = at[often[at]], row[often[at]]
     share = np.array([np.clip((grade > k).mean(), 1e-3, 1 - 1e-3) for k in range(levels - 1)])
     used, at = np.unique(at, return_inverse=True)
-    w, first = np.zeros(len(used)), -np.log(share / (1 - share))
-    # cuts are the first one and log gaps, so that they stay in order
-    c = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
-    m, v = [np.zeros_like(w), np.zeros_like(c)], [np.zeros_like(w), np.zeros_like(c)]
-    n = len(grade)
+    first = -np.log(share / (1 - share))
+    x = [np.zeros(len(used)), np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])]
+    m, v = [np.zeros_like(p) for p in x], [np.zeros_like(p) for p in x]
     for t in range(1, ROUNDS + 1):
-        cuts = c[0] + np.concatenate([[0], np.cumsum(np.exp(c[1:]))])
-        score = np.bincount(row, w[at], minlength=n)
-        p = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50)))
-        edge = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
-        i = np.arange(n)
-        hit = np.maximum(edge[i, grade] - edge[i, grade + 1], 1e-9)
-        slope = edge * (1 - edge)
-        up = np.zeros_like(edge)
-        up[i, grade] += slope[i, grade] / hit
-        up[i, grade + 1] -= slope[i, grade + 1] / hit
-        by_score = -up.sum(1) / n
-        by_cut = up[:, 1:-1].sum(0) / n
-        gaps = np.exp(c[1:])
-        g = [np.bincount(at, by_score[row], minlength=len(used)) + RIDGE * w, np.concatenate([[by_cut.sum()], [by_cut[k + 1 :].sum() * gaps[k] for k in range(len(gaps))]])]
-        for k, x in enumerate((w, c)):
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            x -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        _, *slopes = gradient(*x, row, at, grade, ridge)
+        for k, g in enumerate(slopes):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g**2
+            x[k] = x[k] - RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = w
-    return OrdinalModel(weights, c[0] + np.concatenate([[0], np.cumsum(np.exp(c[1:]))]))
+    weights[used] = x[0]
+    return OrdinalModel(weights, x[1][0] + np.concatenate([[0], np.cumsum(np.exp(x[1][1:]))]))
+
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES) -> OrdinalModel:
+    """The model from about ``sample_docs`` rated documents, chosen by a hash of the id; from all if fewer are rated.
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> OrdinalModel:
-    """The model from about ``sample_docs`` rated documents, chosen by a hash of the id; from all if fewer are rated."""
+    Of the chosen, in the order of that hash, so many are taken that they have at most
+    ``sample_features`` features in all: four bytes for each reach the driver, however long
+    the texts are.
+    """
     rated = grades(labels, id_col)
     n = rated.count()
     if not n:
         return fit([], np.zeros(0, int))
-    chosen = rated.where(F.pmod(F.xxhash64("rated", F.lit("quality")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample_docs / n)) + 1)
-    # about sample_docs rows of two numbers, so small enough to broadcast
+    draw = F.pmod(F.xxhash64("rated", F.lit("quality")), F.lit(1_000_003))
+    most = int(1_000_003 * min(1.0, sample_docs / n)) + 1
+    chosen = rated.withColumn("draw", F.floor(draw * DRAWS / most)).where(draw < most)
+    # about sample_docs rows of three numbers, so small enough to broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("rated"))
-    found = rows.select("grade", "text").mapInArrow(_feature_batches, "grade int, x array<int>").collect()
-    found.sort(key=lambda r: (r["grade"], r["x"]))
-    return fit([r["x"] for r in found], np.array([r["grade"] for r in found], int))
+    found = cut(rows.select("grade", "draw", "text").mapInArrow(_feature_batches, "grade int, draw long, n long, x binary"))
+    upto, last = 0, -1
+    for cell, size in sorted((r["draw"], r["n"]) for r in found.groupBy("draw").agg(F.sum("n").alias("n")).collect()):  # at most DRAWS rows
+        upto += size
+        if upto > sample_features:
+            break
+        last = cell
+    taken = found.where(F.col("draw") <= last).select("grade", "x").collect()
+    taken.sort(key=lambda r: (r["grade"], bytes(r["x"])))
+    return fit([np.frombuffer(r["x"], np.int32) for r in taken], np.array([r["grade"] for r in taken], int))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,9 +52,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketch.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    part = lambda k: (F.col(k), F.col(f"{k}_least"))
+    like = lambda k: sketch.containment(F.col("sketch"), F.col(k), F.col("sketch_least"), F.col(f"{k}_least"))
     return found.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.sketch_text(F.col("sketch")).alias("fingerprint"), sketch.sketch_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), sketch.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch.sketch_text(*part("sketch")).alias("fingerprint"), sketch.sketch_text(*part("edited_sketch")).alias("edited_fingerprint"),
+        like("edited_sketch").alias("near_edited"), like("next_sketch").alias("near_next"),
     )
 
 

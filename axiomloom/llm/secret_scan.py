@@ -4,9 +4,11 @@ Three base patterns find spans that always stay. Besides, every long token of le
 digits is scored by the log-likelihood ratio of two first-order Markov models of
 characters: one of random strings, one of ordinary identifiers. Both are trained from
 labelled samples: random are the secrets that the base patterns find and generated
-strings; ordinary are the words without digits of a bounded sample of documents and a list of
-identifiers.
-Only the counts of character pairs, at most ``2 * 67 ** 2`` rows, reach the driver.
+strings; ordinary are all words without digits of all documents, and identifiers with
+numbers composed of words. The least ratio of a secret is set on samples held out from
+training: the largest that misses few random ones and lets hardly an ordinary one pass.
+Words are counted before their characters are. Only the counts of character pairs, at most
+``2 * 67 ** 2`` rows, and of ratios, at most ``2 * 400``, reach the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .spans import by_start, find_spans, listed, overlaps, tagged
+from .spans import by_start, clear_of, find_spans, let, listed, tagged
 
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
@@ -30,16 +32,12 @@ HEX = r"[0-9a-f]{24,}+"
 #: Tokens that are scored: at least 16 signs, with a letter and a digit.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Documents whose words are ordinary samples (expected number), generated random strings, pairs that a character's own frequency counts as.
-SAMPLE_DOCS, RANDOM_STRINGS, SMOOTH = 2000, 2000, 5.0
-#: Labelled ordinary identifiers with digits and inner capitals, which running text has few of; each counts ``IDENTIFIER_WEIGHT`` times.
-IDENTIFIERS = (
-    "getElementById", "HTTPResponse2", "version_2_release_notes", "user_id_2024_backup", "ISO8859Encoding", "2024-01-15T10_30_00", "section4paragraph12", "utf8mb4_unicode_ci", "COVID19Trial",
-    "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "1234567890", "chapter_10_figure_3", "parseJSONDocument", "toString", "MAX_VALUE_32", "file-2023-12-31-final", "base64Encode", "x86_64-linux-gnu",
-)
-IDENTIFIER_WEIGHT = 25
-#: Least mean log-likelihood ratio of a token's character pairs.
-LEAST_RATIO = 1.5
+#: Generated random strings, pairs that a character's own frequency counts as, identifiers composed for each document.
+RANDOM_STRINGS, SMOOTH, COMPOSED = 4000, 5.0, 3
+#: Shares of held-out random samples that may be missed, and of ordinary ones that may pass; one sample in HELD_OUT is held out.
+MISSED, FALSE_ALARMS, HELD_OUT = 0.02, 0.001, 5
+#: Steps of the ratio in which the least one is sought, from 0.
+STEP, STEPS = 0.02, 200
 _SIZE = len(ALPHABET) + 1
 
 
@@ -79,22 +77,66 @@ def mean_ratio(token, table: list[float]):
     return total / F.greatest(F.size(pairs), F.lit(1))
 
 
-def train(found: DataFrame, samples: DataFrame) -> list[float]:
-    """The table from ``found(values)`` and the texts of ``samples(text)``."""
+def identifiers(text):
+    """Column: ``COMPOSED`` identifiers made of neighbouring words of ``text`` and numbers, at places that a hash chooses; none without words."""
+    own = F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: (F.length(w) >= 3) & ~F.regexp_like(w, F.lit("[0-9]")))
+
+    def one(all_words, k):
+        draw = F.xxhash64(F.size(all_words), F.element_at(all_words, 1), k)
+        word = lambda j: F.element_at(all_words, (F.pmod(draw + j, F.size(all_words)) + 1).cast("int"))
+        number = F.pmod(F.shiftright(draw, 7), F.lit(10_000)).cast("string")
+        parts = F.array(word(0), word(1), word(2))
+        title = lambda ws: F.array_join(F.transform(ws, F.initcap), "")
+        forms = F.array(
+            F.concat(F.lower(F.array_join(parts, "_")), F.lit("_"), number), F.upper(F.concat(F.array_join(parts, "_"), F.lit("_"), number)), F.concat(title(parts), number),
+            F.lower(F.concat(F.array_join(parts, "-"), F.lit("-"), number)), F.concat(F.lower(word(0)), number, title(F.array(word(1), word(2)))), F.concat(F.lit("20"), F.lpad(F.substring(number, 1, 2), 2, "0"), F.lit("-"), F.lpad(F.pmod(draw, F.lit(12)).cast("string"), 2, "0"), F.lit("_"), F.lower(F.array_join(F.array(word(0), word(1)), "_"))),
+        )
+        return F.element_at(forms, (F.pmod(F.shiftright(draw, 21), F.lit(6)) + 1).cast("int"))
+
+    return let(own, lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.lit(COMPOSED)), lambda k: one(w, k))).otherwise(F.array().cast("array<string>")))
+
+
+def labelled(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(kind, token, n, held_out)``: the labelled samples of ``found(values)`` and of all ``docs(text)``, each different one once with its count."""
     spark = found.sparkSession
-    made = spark.range(RANDOM_STRINGS).select(F.when(F.col("id") % 2 == 0, F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40)).otherwise(F.substring(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))), 1, 40)).alias("token"))
+    digest, long = F.sha2(F.col("id").cast("string"), 256), F.pmod("id", F.lit(25)).cast("int") + 16
+    made = spark.range(RANDOM_STRINGS).select(F.substring(F.when(F.pmod("id", F.lit(4)) == 0, digest).otherwise(F.translate(F.base64(F.unhex(digest)), "+/", "")), F.lit(1), long).alias("token"))
     random = found.select(F.explode("values").alias("token")).union(made).select(F.lit("random").alias("kind"), "token")
-    ordinary = samples.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("token")).where(~F.regexp_like("token", F.lit("[0-9]"))).select(F.lit("ordinary").alias("kind"), "token")
-    named = spark.createDataFrame([(t,) for t in IDENTIFIERS], "token string").select(F.explode(F.array_repeat("token", IDENTIFIER_WEIGHT)).alias("token"))
-    ordinary = ordinary.union(named.select(F.lit("ordinary"), "token"))
-    counted = random.union(ordinary).select("kind", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("kind", "pair").count().collect()
+    plain = F.filter(F.split("text", r"[^A-Za-z0-9+/_=-]+"), lambda w: ~F.regexp_like(w, F.lit("[0-9]")))
+    ordinary = docs.select(F.explode(F.concat(plain, identifiers(F.col("text")))).alias("token")).select(F.lit("ordinary").alias("kind"), "token")
+    counted = random.union(ordinary).where(F.length("token") > 1).groupBy("kind", "token").agg(F.count("*").alias("n"))
+    return counted.withColumn("held_out", F.pmod(F.xxhash64("token", F.lit(9)), F.lit(HELD_OUT)) == 0)
+
+
+def train(samples: DataFrame) -> list[float]:
+    """The table from the samples that aren't held out; each different token counts by the square root of its number."""
+    pairs = samples.where(~F.col("held_out")).select("kind", F.sqrt("n").alias("n"), F.explode(_pairs(F.col("token"))).alias("pair"))
     counts: dict[str, dict[int, float]] = {}
-    for r in counted:
-        counts.setdefault(r["kind"], {})[r["pair"]] = float(r["count"])
+    for r in pairs.groupBy("kind", "pair").agg(F.round(F.sum("n"), 3).alias("n")).collect():  # at most 2 * 67 ** 2 rows
+        counts.setdefault(r["kind"], {})[r["pair"]] = r["n"]
     return ratio_table(counts)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def held_out_ratios(samples: DataFrame, table: list[float]) -> dict[str, list[int]]:
+    """For each kind, how many different held-out samples could be candidates, and how many of them reach each step of the ratio."""
+    token = F.col("token")
+    fit = samples.where(F.col("held_out") & (F.length(token) >= 16) & F.regexp_like(token, F.lit("[0-9]")) & F.regexp_like(token, F.lit("[A-Za-z]")))
+    step = F.least(F.greatest(F.floor(mean_ratio(token, table) / STEP), F.lit(-1)), F.lit(STEPS - 1))
+    reach = {k: [0] * (STEPS + 1) for k in ("random", "ordinary")}
+    for r in fit.groupBy("kind", step.alias("step")).count().collect():  # at most 2 * (STEPS + 1) rows
+        for i in range(r["step"] + 2):
+            reach[r["kind"]][i] += r["count"]
+    return reach
+
+
+def least_ratio(reach: dict[str, list[int]], missed: float = MISSED, false_alarms: float = FALSE_ALARMS) -> float:
+    """The largest ratio that all but ``missed`` of the held-out random samples reach, raised until at most ``false_alarms`` of the ordinary ones do."""
+    (randoms, *random), (others, *ordinary) = reach["random"], reach["ordinary"]
+    most = max((i for i, n in enumerate(random) if n >= randoms * (1 - missed)), default=0)
+    return next((i * STEP for i in range(most, STEPS) if ordinary[i] <= others * false_alarms), STEP * STEPS)
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", missed: float = MISSED, false_alarms: float = FALSE_ALARMS) -> DataFrame:
     """``(doc_id, base, spans)`` for each row: tagged spans of the base patterns, and these with the added ones of kind ``random``.
 
     Both are ordered by start, then kind as in ``KINDS``; places are code points. Null and
@@ -114,12 +156,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     values = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["hit"], ASSIGN_VALUE, 1)), F.transform("access", lambda s: s["hit"]), F.transform("hex", lambda s: s["hit"]))
     found = found.withColumn("base", F.concat(*[tagged(k, i, F.col(k)) for i, k in enumerate(BASE_KINDS)])).withColumn("values", values)
-    found = found.withColumn("open", F.filter("token", lambda s: ~overlaps(F.col("base"), s["start"], s["end"])))
+    found = found.withColumn("open", clear_of(F.col("token"), F.col("base")))
     found = cut(found.select("doc_id", "base", "values", "open"))
-    n = max(found.count(), 1)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample_docs / n)) + 1
-    table = train(found, rows.where(draw).select("text"))
-    sure = F.filter("open", lambda s: mean_ratio(s["hit"], table) >= LEAST_RATIO)
+    samples = cut(labelled(found, rows))
+    table = train(samples)
+    least = least_ratio(held_out_ratios(samples, table), missed, false_alarms)
+    sure = F.filter("open", lambda s: mean_ratio(s["hit"], table) >= least)
     return found.select("doc_id", by_start(F.col("base")).alias("base"), by_start(F.concat("base", tagged("random", 3, sure))).alias("spans"))
 
 

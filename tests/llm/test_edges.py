@@ -191,6 +191,47 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_spans_of_one_text(spark):
+    """Places, contexts and overlaps over more hits than one chunk, as the plain version has them; redaction of all of them."""
+    import re
+
+    from axiomloom.llm import spans
+
+    rng = np.random.default_rng(13)
+    text = "".join(rng.choice(["ab", "é", "😀", " ", "12", "7", "x9", ". "], 4000))
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(spans.find_spans(F.col("t"), "[0-9]++", context=5).alias("a"), spans.find_spans(F.col("t"), "[a-z]++[0-9]").alias("b"))
+    got = got.select("a", "b", spans.clear_of(F.col("a"), F.col("b")).alias("c")).first()
+    want = [(m.start(), m.end(), m[0], text[max(0, m.start() - 5) : m.start()]) for m in re.finditer("[0-9]+", text)]
+    other = [(m.start(), m.end()) for m in re.finditer("[a-z]+[0-9]", text)]
+    assert [tuple(x) for x in got.a] == want and [(x.start, x.end) for x in got.b] == other and len(want) > 2 * spans.CHUNK
+    assert [tuple(x) for x in got.c] == [w for w in want if not any(a < w[1] and b > w[0] for a, b in other)]
+    both = F.concat(spans.tagged("n", 0, F.col("a")), spans.tagged("w", 1, F.col("b")))
+    red = df.select("t", spans.find_spans(F.col("t"), "[0-9]++").alias("a"), spans.find_spans(F.col("t"), "[a-z]++[0-9]").alias("b")).select(pii.redact(F.col("t"), both)).first()[0]
+    out, at = "", 0
+    for a, b, k in sorted([(a, b, "N") for a, b, *_ in want] + [(a, b, "W") for a, b in other]):
+        if a >= at:
+            out += text[at:a] + f"[{k}]"
+        at = max(at, b)
+    assert red == out + text[at:]
+
+
+def test_many_hits(spark):
+    """The work follows the number of hits in one text."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"write to user{i}@host.example.org (at) home," for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = pii.find_personal_data(df, keep=("text",)).select(F.size("base").alias("n"), F.length(pii.redact(F.col("text"), F.col("spans")))).first()
+        assert rows.n == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    few, many = seconds(8000), seconds(32000)
+    assert many < 8 * few + 2
+
+
 def test_personal_data(odd, none):
     got = sorted((tuple(r)[:5] + (r.base_sha256,) for r in pii.digest(pii.find_personal_data(odd)).collect()), key=repr)
     want = []
@@ -237,6 +278,52 @@ def test_language_mixtures():
     assert [f[0] for f in found] == ["aa", "bb"] and abs(found[0][1] - 0.63) < 0.15
 
 
+def test_language_brute():
+    """Proportions and the selected set as a plain mixture over all languages has them, a dozen of them here."""
+    rng = np.random.default_rng(7)
+    langs = [f"l{k:02d}" for k in range(12)]
+    texts = {g: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(60)) for g in langs}
+    table = np.stack([langid.trigram_counts(texts[g]) + 0.05 for g in langs], 1)
+    model = (langs, np.log(table / table.sum(0)).astype(np.float32))
+
+    def em(like, n):
+        share = [1 / len(like[0])] * len(like[0])
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(share)
+            for row, c in zip(like, n, strict=True):
+                parts = [a * b for a, b in zip(row, share, strict=True)]
+                for k, p in enumerate(parts):
+                    new[k] += c * p / sum(parts) / sum(n)
+            done = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(c * math.log(sum(a * b for a, b in zip(row, share, strict=True))) for row, c in zip(like, n, strict=True))
+
+    def plain(text):
+        counts = langid.trigram_counts(text)
+        own = np.flatnonzero(counts)
+        n = [int(c) for c in counts[own]]
+        like = [[math.exp(float(x)) for x in model[1][i].astype(np.float64)] for i in own]
+        full, _ = em(like, n)
+        best = {k: sum(c * math.log(row[k]) for row, c in zip(like, n, strict=True)) for k in range(len(langs))}
+        chosen = [max(best, key=best.get)]
+        share, value = [1.0], best[chosen[0]]
+        for k in sorted(range(len(langs)), key=lambda k: -full[k]):
+            if k in chosen or full[k] < langid.MIN_SHARE:
+                continue
+            new, v = em([[row[c] for c in [*chosen, k]] for row in like], n)
+            if v - value <= langid.PENALTY * math.log(sum(n) + 1) or new[-1] < langid.MIN_SHARE:
+                break
+            chosen, share, value = [*chosen, k], new, v
+        return {langs[c]: pytest.approx(s, abs=1e-6) for c, s in zip(chosen, share, strict=True)}, pytest.approx(full[chosen[max(range(len(share)), key=share.__getitem__)]], abs=1e-6)
+
+    for text in (texts["l03"][:120], texts["l00"][:150] + " " + texts["l11"][:150], " ".join(texts[g][:90] for g in langs[4:10])):
+        _, score, found = langid.identify(text, *model)
+        want, want_score = plain(text)
+        assert dict(found) == want and score == want_score
+
+
 def test_sketch(odd, none, spark):
     rows = sketch.edited_fingerprints(odd).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0))
@@ -246,17 +333,69 @@ def test_sketch(odd, none, spark):
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, r)
-    assert by[3].sketch == [] and by[1].sketch == by[9].sketch and by[5].sketch == [] and len(by[10].sketch) == 1
+    assert by[3].sketch == [] == by[5].sketch and by[3].sketch_least is None and by[1].sketch == by[9].sketch and by[10].sketch_least is not None
     one = spark.createDataFrame([(1, "abc def")], "doc_id long, text string")
     assert sketch.edited_fingerprints(one).first().edited == "abc abc"
 
 
+def sketch_of(text, width=sketch.WIDTH):
+    """The sketch and the smallest hash, plainly."""
+    import re
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    hashes = set()
+    for i in range(max(len(w) - width + 1, 1) if w else 0):
+        h = 42
+        for x in w[i : i + width]:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
+        hashes.add(signed(h))
+    return sorted(h for h in hashes if h < -(1 << 63) + (1 << 64) // sketch.SCALE), min(hashes, default=None)
+
+
+def test_sketch_brute(odd, spark):
+    """Sketches, edited sketches and the next ones as the plain version has them; sketches of parts merge by union."""
+    order = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0))
+    texts = [t or "" for _, t, *_ in order]
+    want = []
+    for k, t in enumerate(texts):
+        nxt = texts[(k + 1) % len(texts)]
+        want.append((*sketch_of(t), *sketch_of(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]), *sketch_of(nxt)))
+    got = [(r.sketch, r.sketch_least, r.edited_sketch, r.edited_sketch_least, r.next_sketch, r.next_sketch_least) for r in sketch.edited_fingerprints(odd).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    words = [f"w{i}" for i in range(400)]
+    whole, _ = sketch_of(" ".join(words))
+    parts = [sketch_of(" ".join(words[a : a + 54]))[0] for a in range(0, 400, 50)]
+    assert sorted(set().union(*parts)) == whole
+
+
+def test_next_of_hot_keys(spark):
+    """A third of the rows without an id and a third of one id: split by their texts, in the order that sorting gives."""
+    import xxhash
+
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i * 7919}") for i in range(600)]
+    old, sketch.ROWS_PER_BUCKET = sketch.ROWS_PER_BUCKET, 20
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.edited for r in sketch.edited_fingerprints(df).collect()}
+        places = sketch.with_next(df.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))), "key", ["text"], [F.xxhash64("text"), F.col("text")])
+        assert places.count() == 600
+    finally:
+        sketch.ROWS_PER_BUCKET = old
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = {t[: len(t) - len(t) // 2] + order[(k + 1) % 600][1][: len(t) // 2] for k, (_, t) in enumerate(order)}
+    assert got == want
+
+
 def test_sketch_estimates(spark):
     small, more = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(9000))
     df = spark.createDataFrame([(small, more, "")], "a string, b string, c string")
     for c in "abc":
         df = sketch.with_sketch(df, c, f"s{c}")
-    r = df.select(sketch.containment(F.col("sa"), F.col("sb")).alias("c"), sketch.resemblance(F.col("sa"), F.col("sb")).alias("j"), sketch.containment(F.col("sa"), F.col("sc")).alias("z")).first()
+    r = df.select(sketch.containment(F.col("sa"), F.col("sb"), F.col("sa_least"), F.col("sb_least")).alias("c"), sketch.resemblance(F.col("sa"), F.col("sb")).alias("j"), sketch.containment(F.col("sa"), F.col("sc"), F.col("sa_least"), F.col("sc_least")).alias("z")).first()
     assert r.c > 0.97 and abs(r.j - 1 / 3) < 0.06 and r.z == 0
 
 
@@ -279,6 +418,57 @@ def test_ordinal_fit():
     assert np.mean(p[grade == 0]) < 0.5 and 0.6 < np.mean(p[grade == 1]) < 1.4 and np.mean(p[grade == 2]) > 1.5
 
 
+def test_ordinal_gradient():
+    """The slopes as differences of the plain likelihood have them, and a fit that is not worse than plain descent."""
+    rng = np.random.default_rng(16)
+    grade = rng.integers(0, 3, 60)
+    row, at = np.repeat(np.arange(60), 3), rng.integers(0, 8, 180)
+    w, c = rng.standard_normal(8) / 3, np.array([-0.5, 0.2])
+
+    def plain(w, c):
+        cuts, total = [c[0], c[0] + math.exp(c[1])], 0.0
+        for i in range(60):
+            s = sum(w[k] for k in at[row == i])
+            tails = [1.0, *(1 / (1 + math.exp(x - s)) for x in cuts), 0.0]
+            total -= math.log(tails[grade[i]] - tails[grade[i] + 1])
+        return total / 60 + quality.RIDGE / 2 * float(w @ w)
+
+    loss, gw, gc = quality.gradient(w, c, row, at, grade)
+    assert loss == pytest.approx(plain(w, c), rel=1e-9)
+    for x, g in ((w, gw), (c, gc)):
+        for k in range(len(x)):
+            old = x[k]
+            x[k] = old + 1e-5
+            up = plain(w, c)
+            x[k] = old - 1e-5
+            down = plain(w, c)
+            x[k] = old
+            assert g[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+    rows = [sorted({int(k) for k in at[row == i]}) for i in range(60)]
+    flat, of = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(60), [len(r) for r in rows])
+    m = quality.fit(rows, grade)
+    fitted, *_ = quality.gradient(m.weights[:8].astype(float), np.array([m.cuts[0], math.log(m.cuts[1] - m.cuts[0])]), of, flat, grade)
+    w, c = np.zeros(8), np.array([-0.7, 0.3])
+    for _ in range(4000):
+        best, gw, gc = quality.gradient(w, c, of, flat, grade)
+        w, c = w - 0.3 * gw, c - 0.3 * gc
+    assert fitted <= best + 2e-3
+
+
+def test_quality_bound(spark):
+    """Training takes no more features than its bound, whole documents of the draw's first cells."""
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id").cast("string"), F.repeat(F.lit("x "), 3)).alias("text"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    sizes, old = [], quality.fit
+    quality.fit = lambda rows, grade: sizes.append(sum(map(len, rows))) or old(rows, grade)
+    try:
+        for bound in (4_000_000, 700, 0):
+            quality.train(df, labels, sample_features=bound)
+    finally:
+        quality.fit = old
+    assert sizes[0] > 700 >= sizes[1] > 300 and sizes[2] == 0
+
+
 def test_secrets(odd, none):
     got = sorted((tuple(r)[:4] + (r.base_sha256,) for r in secret_scan.digest(secret_scan.find_secrets(odd)).collect()), key=repr)
     want = []
@@ -288,6 +478,47 @@ def test_secrets(odd, none):
     assert got == sorted(want, key=repr) and secret_scan.find_secrets(none).count() == 0
 
 
+def test_added_secrets_held_out(spark, sf_dir):
+    """Precision and recall of the added spans on planted tokens, none of which the training samples have."""
+    import random
+
+    rng = random.Random(21)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    names = ["load", "Config", "reader", "Index", "table", "Cache", "worker", "Pool", "river", "Market", "blue", "Field"]
+    rows, secret = [], set()
+    for k, (i, text) in enumerate(docs):
+        t = text or ""
+        token = "".join(rng.choice(signs) for _ in range(rng.randint(20, 40))) + "4a"
+        plain = rng.choice(["_".join(rng.sample([n.lower() for n in names], 3)) + f"_{rng.randint(1, 999)}", "".join(rng.sample([n.title() for n in names], 4)) + str(rng.randint(1, 99))])
+        if k % 2:
+            secret.add(i)
+        rows.append((i, f"{t} then {token if k % 2 else plain} end", len(t) + 6))
+    got = secret_scan.digest(secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, place long")))
+    hit = {r.doc_id for r in got.collect() if any(s == f"random:{p}" for (i, _, p) in [next(x for x in rows if x[0] == r.doc_id)] for s in [":".join(x.split(":")[:2]) for x in r.spans.split(",")])}
+    assert len(hit & secret) >= 0.95 * len(secret) and len(hit & secret) >= 0.98 * len(hit), (len(hit & secret), len(hit), len(secret))
+
+
+def test_added_personal_data_held_out(spark, sf_dir):
+    """Precision and recall of the added spans on planted notations beside look-alikes."""
+    import random
+
+    rng = random.Random(22)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    true = [lambda: f"mail ann{d(2)} [at] host{d(1)} [dot] org", lambda: f"phone: ({d(3)}) {d(3)}-{d(4)}", lambda: f"host 10[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}[.]7"]
+    false = [lambda: f"order no {d(3)} {d(3)} {d(4)}", lambda: f"isbn {d(3)}-{d(4)}-{d(4)}", lambda: f"page {d(3)}.{d(3)}.{d(3)}"]
+    rows, planted = [], set()
+    for k, (i, text) in enumerate(docs):
+        own = rng.choice(true if k % 2 else false)()
+        if k % 2:
+            planted.add(i)
+        rows.append((i, f"{text or ''}\n{own} end", len(text or "") + 1))
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string, place long"), keep=("place",)).collect()
+    hit = {r.doc_id for r in found if any(s.start >= r.place for s in r.spans if s not in r.base)}
+    assert len(hit & planted) >= 0.9 * len(planted) and len(hit & planted) >= 0.98 * len(hit), (len(hit & planted), len(hit), len(planted))
+
+
 def test_added_secrets(spark):
     words = "the quick brown fox_jumps over lazy dogs and other ordinary identifiers like parse_document or http_response " * 20
     df = spark.createDataFrame([(1, words), (2, "key qX7vR2mZ9kLw3TbN8yHd then"), (3, "see version_2_release_notes_final")], "doc_id long, text string")
