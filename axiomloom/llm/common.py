@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,32 @@ def pieces(total: float, each: float, spark: SparkSession) -> int:
     return max(2 * shuffle_width(spark), math.ceil(total / each))
 
 
+def by_cells(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` dealt by ``cell`` and sorted by it in each partition; of about ``each`` rows, but in the session's width at least, which adaptive execution may coalesce."""
+    width = math.ceil(rows / each)
+    dealt_out = df.repartition(width, "cell") if width > shuffle_width(df.sparkSession) else df.repartition("cell")
+    return dealt_out.sortWithinPartitions("cell")
+
+
+def whole_cells(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """The rows of ``batches``, sorted by their first column, as tables of whole cells: about ``rows`` rows, or one larger cell."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            cell = table.column(0).to_numpy()
+            last = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
+            if last:
+                yield table.slice(0, last)
+                held = table.slice(last).combine_chunks().to_batches()
+                n -= last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def words(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of ``text``, in order; no empty ones."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -1,25 +1,27 @@
 """SimHash fingerprints and near-duplicate classes through pivot distance tables.
 
-A fingerprint's coordinates are its Hamming distances to reference fingerprints. By the
-triangle inequality two fingerprints within ``LINK_BITS`` bits differ by at most that in
-every coordinate. The references are
-
-* the zero fingerprint and the 64 unit fingerprints ``1 << b``: the distance to
-  ``1 << b`` less the distance to zero is +1 or -1, so these coordinates taken over a
-  block of bits tell the block. At most three of five blocks differ in a link, so two
-  blocks have equal coordinates: ten tables, each keyed by the coordinates of two blocks
-  (25 or 26 bits), hold every link in a shared bucket;
-* ``PIVOTS`` fixed random fingerprints: inside a bucket, rows are ordered by the first of
-  these coordinates, and a pair is discarded as soon as its largest coordinate difference
-  exceeds ``LINK_BITS``. What survives is verified on the fingerprints themselves.
+Each different fingerprint has a distance table: its Hamming distances to reference
+fingerprints, computed once and kept. By the triangle inequality two fingerprints within
+``LINK_BITS`` bits differ by at most that in every coordinate. The references are
+
+* ``PIVOTS`` fixed random fingerprints, the zero fingerprint, and the 64 unit fingerprints
+  ``1 << b``. The distance to a unit is that to zero plus or minus 1, so over a block of
+  bits these coordinates agree only where the block does. At most three of five blocks
+  differ in a link, so two have equal coordinates: ten candidate lists, each keyed by the
+  coordinates of two blocks (25 or 26 bits), hold every link in a shared bucket;
+* inside a bucket, rows are ordered by the first random reference's coordinate, and a pair is
+  discarded as soon as its largest coordinate difference exceeds ``LINK_BITS``. What
+  survives is verified on the fingerprints themselves.
 
 Buckets above ``TILE`` distinct fingerprints are dealt out as pairs of tiles, each pair to
-its own group, so no task has to hold a bucket. Only edges that join what a group has not
-joined yet are passed on; classes come from :mod:`components`.
+its own cell, and workers take cell after cell, so no task has to hold a bucket or a
+partition. Only edges that join what a cell has not joined yet are passed on; classes come
+from :mod:`components`. :mod:`near_copies` uses wider fingerprints for larger distances.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt
+from .common import by_cells, cut, dealt, whole_cells
 from .components import connected_components, join_labels
 
 LINK_BITS = 3
 WIDTH = 3
 PIVOTS = 16
 TILE = 8192
+#: Rows of a partition of candidates, about.
+ROWS = 1 << 20
 #: Bits of each block, from the lowest.
 BLOCKS = (13, 13, 13, 13, 12)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -86,26 +90,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _pivots() -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+def references() -> np.ndarray:
+    """The reference fingerprints: random ones, zero, units."""
+    units = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return np.concatenate([np.random.default_rng(64).integers(0, 1 << 64, PIVOTS, dtype=np.uint64), np.zeros(1, np.uint64), units])
 
 
-def _tables() -> list[int]:
-    """The mask of each table: two of the blocks."""
-    masks, low = [], 0
-    for n in BLOCKS:
-        masks.append(((1 << n) - 1) << low)
-        low += n
-    return [a | b for a, b in combinations(masks, 2)]
+def distances(fp: np.ndarray) -> np.ndarray:
+    """``[fingerprint, reference]``: Hamming distances."""
+    return np.bitwise_count(fp[:, None] ^ references()[None, :]).astype(np.uint8)
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the fingerprints of each key as all pairs at ``LINK_BITS`` or fewer bits would."""
-    pivots = _pivots()
-    first = np.bitwise_count(fp ^ pivots[0]).astype(np.int64)
-    order = np.lexsort((fp, first, key))
-    key, fp, first = key[order], fp[order], first[order]
-    coords = [np.bitwise_count(fp ^ p).astype(np.int8) for p in pivots[1:]]
+def candidate_keys(table: np.ndarray) -> np.ndarray:
+    """``[fingerprint, list]``: for each two blocks, the coordinates of their units less that of zero as one number, with the list's number above."""
+    nearer = table[:, PIVOTS + 1 :] < table[:, PIVOTS, None]
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    edges, keys = np.cumsum([0, *BLOCKS]), []
+    for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2)):
+        of = np.concatenate([np.arange(edges[a], edges[a + 1]), np.arange(edges[b], edges[b + 1])])
+        keys.append((nearer[:, of] * weight[: len(of)]).sum(1, dtype=np.uint64) | np.uint64(k << 32))
+    return np.stack(keys, 1)
+
+
+def _table_batches(batches):
+    for batch in batches:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in distances(fp)], pa.binary())], names=["fp", "distances"])
+
+
+def _candidate_batches(batches):
+    for batch in batches:
+        table = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        keys = candidate_keys(table)
+        lists = keys.shape[1]
+        fp = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists)
+        near = [x for r in table for x in [r[:PIVOTS].tobytes()] * lists]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(fp), pa.array(near, pa.binary())], names=["bucket", "fp", "coords"])
+
+
+def bucket_links(key: np.ndarray, fp: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the fingerprints of each key as all pairs at ``LINK_BITS`` or fewer bits would; ``coords`` has their distances to the random references."""
+    order = np.lexsort((fp, coords[:, 0], key))
+    key, fp, coords = key[order], fp[order], coords[order].astype(np.int8)
+    first = coords[:, 0]
     nodes, at = np.unique(fp, return_inverse=True)
     label = np.arange(len(nodes))
     a, b = [], []
@@ -116,10 +143,10 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         i = i[(key[i + step] == key[i]) & (first[i + step] - first[i] <= LINK_BITS)]
         live = i[at[i] != at[i + step]]
         live = live[label[at[live]] != label[at[live + step]]]
-        for c in coords:
+        for k in range(1, coords.shape[1]):
             if not len(live):
                 break
-            live = live[np.abs(c[live + step] - c[live]) <= LINK_BITS]
+            live = live[np.abs(coords[live + step, k] - coords[live, k]) <= LINK_BITS]
         live = live[np.bitwise_count(fp[live] ^ fp[live + step]) <= LINK_BITS]
         if len(live):
             a.append(fp[live])
@@ -129,19 +156,20 @@ def bucket_links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def _partition_links(batches):
-    got = [b for b in batches if b.num_rows]
-    if got:
-        key, fp = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in (0, 1))
-        a, b = bucket_links(key, fp.view(np.uint64))
+def _cell_links(batches):
+    for t in whole_cells(batches):
+        coords = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        a, b = bucket_links(t.column(0).to_numpy(), t.column(1).to_numpy().view(np.uint64), coords)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """``(a, b)``: links that join the distinct fingerprints ``nodes(fp)`` as all links would."""
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in _tables()])).alias("table", "bits"))
-    keyed = keyed.select("fp", F.xxhash64("table", "bits").alias("bucket"))
-    return dealt(keyed, "bucket", "fp", TILE).select("cell", "fp").repartition("cell").mapInArrow(_partition_links, "a long, b long")
+    tables = cut(nodes.select("fp").mapInArrow(_table_batches, "fp long, distances binary"))
+    lists = math.comb(len(BLOCKS), 2)
+    keyed = tables.mapInArrow(_candidate_batches, "bucket long, fp long, coords binary")
+    cells = dealt(keyed, "bucket", "fp", TILE).select("cell", "fp", "coords")
+    return by_cells(cells, tables.count() * lists, ROWS).mapInArrow(_cell_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
