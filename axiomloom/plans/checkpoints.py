@@ -14,24 +14,40 @@ _used: dict[str, SparkSession] = {}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if folder:
         return folder
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share: a local one can't hold their intermediate results.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="axiomloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes ``folder``, wherever Spark's file systems have it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _remove() -> None:
     for folder, spark in _used.items():
         try:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(spark, folder)
         except Exception:  # noqa: BLE001, S110 -- the session may be gone; what is left is only disk space
             pass
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This process's folder beside the checkpoints; it goes when the process ends."""
+    own = f"{checkpoint_folder(spark)}/{_OWN}"
+    if not _used:
+        atexit.register(_remove)
+    _used[own] = spark
+    return own
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the checkpoint folder and read back.
 
@@ -39,10 +55,6 @@ def settled(df: DataFrame) -> DataFrame:
     to the planner, so small intermediate results are broadcast without a hint.
     """
     spark = df.sparkSession
-    own = f"{checkpoint_folder(spark)}/{_OWN}"
-    if not _used:
-        atexit.register(_remove)
-    _used[own] = spark
-    path = f"{own}/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
