@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt
+from .common import by_cells, cut, dealt, whole_cells
 from .components import connected_components, join_labels
 
 COSINE, RECALL, COUNT = 0.98, 0.99, 2
 SLAB, WINDOW, TILE, SEED = 1.2, 0.6, 4096, 10
 #: Vectors of one label for each block, at most about.
 BLOCK = 64
+#: Rows of a partition of cells, about; rows that a worker takes at once, unless one cell has more.
+ROWS, _CELL_ROWS = 1 << 17, 1 << 15
 _CHUNK = 1 << 17
 
 
@@ -88,25 +90,22 @@ def _key_batches(depth: int, tables: int):
                     x = _matrix(own.column(1))
                     made.setdefault(width, Projections(width, depth, tables))
                     blocks, _ = made[width](x / np.linalg.norm(x, axis=1, keepdims=True))
-                    yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(blocks), pa.list_(pa.int64()))], names=["node", "blocks"])
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(list(blocks), pa.list_(pa.int64()))], names=[*own.schema.names, "blocks"])
 
     return run
 
 
 def _pair_batches(depth: int, tables: int, cosine: float):
-    """Of one partition's cells, the links of each node and joining edges: rows ``(a, b, n)`` with ``b`` null for counts."""
+    """Of each cell, the links of each node and joining edges: rows ``(a, b, n)`` with ``b`` null for counts."""
 
     def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        widths = np.array(pa.chunked_array([b.column(5).value_lengths() for b in got]).to_pylist())
-        for width in np.unique(widths).tolist():
-            own = t.filter(pa.array(widths == width))
-            yield from links(*(own.column(k).to_numpy() for k in range(5)), _matrix(own.column(5)), own.column(6).to_numpy())
-
-    def links(cell, table, side, whole, node, x, many):
+        for t in whole_cells(batches, _CELL_ROWS):
+            widths = np.array(t.column("vector").combine_chunks().value_lengths().to_pylist())
+            for width in np.unique(widths).tolist():
+                own = t.filter(pa.array(widths == width))
+                yield from links(*(own.column(k).to_numpy() for k in ("cell", "table", "side", "whole", "node")), _matrix(own.column("vector")), own.column("many").to_numpy(), own.column("code").to_numpy())
+
+    def links(cell, table, side, whole, node, x, many, code):
         norm = np.linalg.norm(x, axis=1)
         # a node is here once for each of its cells: project it once
         _, at, of = np.unique(node, return_index=True, return_inverse=True)
@@ -114,7 +113,7 @@ def _pair_batches(depth: int, tables: int, cosine: float):
         order = np.lexsort((node, places[of, table], cell))
         cell, table, side, whole, of = cell[order], table[order], side[order], whole[order], of[order]
         place = places[of, table]
-        x, norm, many, node = x[at], norm[at], many[at], node[at]
+        x, norm, many, node, code = x[at], norm[at], many[at], node[at], code[at]
         links_of, label = np.zeros(len(node), np.int64), np.arange(len(node))
         a, b = [], []
         i, step = np.arange(len(cell)), 0
@@ -130,7 +129,7 @@ def _pair_batches(depth: int, tables: int, cosine: float):
                 k = np.arange(len(s))
                 good = np.flatnonzero((hits[k, own] == COUNT) & (np.where(own > 0, hits[k, np.maximum(own - 1, 0)], 0) == COUNT - 1))
                 p, q = p[good], q[good]
-                near = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= cosine
+                near = (np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= cosine) & (code[p] == code[q])
                 p, q = p[near], q[near]
                 links_of += np.bincount(p, many[q], minlength=len(node)).astype(np.int64) + np.bincount(q, many[p], minlength=len(node)).astype(np.int64)
                 new = label[p] != label[q]
@@ -156,26 +155,32 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     no component (null only if all ids are) and isn't kept. An empty table gives an empty
     result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label"))
+    # the components as they are: four bytes each where the table has floats; sums and cosines are in double precision
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).alias("label"))
     fine = F.col("label").isNotNull() & F.col("vector").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
-    rows = rows.withColumn("node", F.when(fine, F.xxhash64("label", plain)))
-    valid = rows.where(F.col("node").isNotNull())
-    nodes = cut(valid.groupBy("node").agg(F.first("vector").alias("vector"), F.xxhash64(F.first("label")).alias("label"), F.min("vec_id").alias("least_id"), F.count("*").alias("many")))
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth, tables, _ = calibrate(most, cosine)
-    keys = nodes.select("node", "vector").mapInArrow(_key_batches(depth, tables), "node long, blocks array<long>")
-    keyed = keys.join(nodes.select("node", "label", "vector", "many"), "node").select("node", "vector", "many", "label", F.posexplode("blocks").alias("table", "block"))
-    keyed = keyed.withColumn("bucket", F.xxhash64("label", F.size("vector"), "table", "block")).drop("label", "block")
-    cells = dealt(keyed, "bucket", "node", TILE).select("cell", F.col("table").cast("long"), "side", "whole", "node", "vector", "many")
-    found = cut(cells.repartition("cell").mapInArrow(_pair_batches(depth, tables, cosine), "a long, b long, n long"))
+    rows = rows.withColumn("fine", fine)
+    zero = F.lit(0.0).cast(kind[6:-1])
+    valid = rows.where("fine").withColumn("vector", F.transform("vector", lambda x: x + zero))  # -0.0 is 0.0
+    nodes = valid.groupBy("label", "vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("many")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes)
+    labels = cut(nodes.groupBy("label").agg(F.count("*").alias("size")).withColumn("code", F.monotonically_increasing_id()))
+    depth, tables, _ = calibrate(labels.agg(F.max("size")).first()[0] or 0, cosine)
+    few = labels.count() <= 10_000  # so few labels can be broadcast
+    coded = nodes.join(F.broadcast(labels) if few else labels, "label").select("node", "vector", "many", "code")
+    keyed = coded.mapInArrow(_key_batches(depth, tables), f"node long, vector {kind}, many long, code long, blocks array<long>")
+    keyed = keyed.select("node", "vector", "many", "code", F.posexplode("blocks").alias("table", "block"))
+    keyed = keyed.withColumn("bucket", F.xxhash64("code", F.size("vector"), "table", "block")).drop("block")
+    cells = dealt(keyed, "bucket", "node", TILE).select("cell", F.col("table").cast("long"), "side", "whole", "node", "vector", "many", "code")
+    found = cut(by_cells(cells, nodes.count() * tables, ROWS).mapInArrow(_pair_batches(depth, tables, cosine), "a long, b long, n long"))
     roots = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     known = nodes.select("node", "least_id", "many").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = cut(known.join(counts, F.col("node") == F.col("a"), "left").select("node", "least_id", "many", "root", F.coalesce("others", F.lit(0)).alias("others")))
     least = cut(known.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    known = cut(known.join(least, "root").select(F.col("node").alias("known"), (F.col("many") - 1 + F.col("others")).alias("links"), "component_id"))
-    single = rows.where(F.col("node").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    linked = valid.select("vec_id", "node").join(known, F.col("node") == F.col("known")).select("vec_id", F.col("links").alias("n_links"), "component_id")
+    known = cut(known.join(least, "root").select("node", (F.col("many") - 1 + F.col("others")).alias("links"), "component_id"))
+    known = known.join(nodes.select("node", "label", "vector"), "node").drop("node")
+    single = rows.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = valid.select("vec_id", "label", "vector").join(known, ["label", "vector"]).select("vec_id", F.col("links").alias("n_links"), "component_id")
     both = linked.union(single)
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -61,6 +61,15 @@ def near_fingerprints(fps, bits=3):
     return [(i, int(j)) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x ^ x[i]) <= bits) if j > i]
 
 
+def near_pairs(texts):
+    """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else {()}))
+    return [(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if 5 * len(a & (b := sets[j])) >= 4 * len(a | b)]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 

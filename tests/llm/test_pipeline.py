@@ -25,15 +25,15 @@ def test_stages(spark, sf_dir, tmp_path):
     model = langid.train(before)
     keep = []
     for r in before.collect():
-        lang, score, _ = langid.identify(r.text, *model)
-        if lang != "und" and score >= corpus_pipeline.LEAST_SHARE:
+        lang, _, found = langid.identify(r.text, *model)
+        if lang != "und" and found[0][1] >= corpus_pipeline.LEAST_SHARE:
             keep.append(r)
     assert sorted(map(tuple, keep)) == sorted(map(tuple, after.collect()))
     assert after.count() > 0.9 * before.count()
 
     before, after = results[1]
     rows = sorted(before.collect())
-    comps = brute.components([r.doc_id for r in rows], brute.near_fingerprints([brute.simhash(r.text) for r in rows]))
+    comps = brute.components([r.doc_id for r in rows], brute.near_pairs([r.text for r in rows]))
     assert sorted(map(tuple, after.collect())) == [tuple(r) for r, c in zip(rows, comps, strict=True) if r.doc_id == c]
 
     before, after = results[2]
@@ -74,4 +74,20 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "personal_data", "source_mixing", "byte_bpe"]
+    from pathlib import Path
+
+    from axiomloom.plans.checkpoints import own_folder
+
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    own = Path(own_folder(spark).removeprefix("file:"))
+    assert [sorted(x.name for x in p.iterdir() if x.is_dir()) for p in own.glob("pipeline-*")][-1] == ["4"]
+
+
+def test_empty_table(spark, sf_dir):
+    """Stages over no rows, and over rows that have only nulls."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(None, None, None, None, None)] * 3):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            assert stage(spark, docs, sf_dir).count() == (0 if not rows or name == "source_mixing" else 1 if name == "simhash_near_dedup" else 3), name
+        assert corpus_pipeline.identify_languages(spark, docs, sf_dir).count() == 0
