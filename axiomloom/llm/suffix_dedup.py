@@ -5,8 +5,8 @@ The strings are found with sorted suffixes, of which only those are built that c
 1. Anchors. Each string of ``LENGTH`` bytes has an anchor: of its ``ANCHOR``-byte pieces
    the one of least hash, the leftmost of equal ones. Equal strings have equal anchors at
    equal places, and about 16 strings in a row share one. Documents are dealt to groups by
-   id; a group sends the short codes of its anchors to buckets by hash, and each bucket
-   tells each group which of them are in other documents too.
+   id; a group sends the short codes of its anchors to buckets by hash, one row to each, and
+   each bucket tells each group which of them are in other documents too.
 2. Suffixes. For these anchors a group sends the passage that their strings cover, once
    for each different passage, with its smallest id. A bucket joins equal passages (by
    polynomial hash, verified byte by byte). Where an anchor has several passages, the
@@ -34,14 +34,25 @@ from pyspark.sql import functions as F
 from .common import cut, pieces
 
 LENGTH, ANCHOR, HOT = 50, 20, 1000
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Text of a group of documents, and text for each bucket of passages and of anchors' codes; an anchor's code takes a few bytes.
+GROUP_BYTES, BUCKET_BYTES, CODE_BYTES = 4 << 20, 8 << 20, 64 << 20
 _U = np.uint64
 _MASK = _U(0xFFFFFFFF)
 _rng = np.random.default_rng(50)
 _TABLE = _rng.integers(0, 1 << 64, 256, dtype=_U)
 _BASE = int(_rng.integers(0, 1 << 63)) * 2 + 1
 _MIX = _U(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = []
+#: Bytes that are hashed at a time, so that only prefix hashes and anchors are held for a whole group.
+_BLOCK = 1 << 18
+_LOW_BITS = 12
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[_U(1)], np.full(max(n - 1, 0), _U(base))]), dtype=_U)
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_FORWARD, _BACKWARD = _powers(_BASE, _BLOCK + LENGTH), _powers(_INVERSE, _BLOCK + LENGTH)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,21 +67,27 @@ class Text:
     def __init__(self, data: bytes):
         self.data = np.frombuffer(data, np.uint8)
         n = len(data)
-        if not _powers or len(_powers[0]) <= n:
-            size = max(n + 1, 1 << 22)
-            _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size, _U(b))]), dtype=_U) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        self.back = _powers[1]
         self.prefix = np.zeros(n + 1, _U)
-        np.cumsum(_TABLE[self.data] * _powers[0][:n], out=self.prefix[1:])
+        for a in range(0, n, _BLOCK):
+            own = self.data[a : a + _BLOCK]
+            np.cumsum(_TABLE[own] * (_FORWARD[: len(own)] * _U(pow(_BASE, a, 1 << 64))), out=self.prefix[a + 1 : a + 1 + len(own)])
+            self.prefix[a + 1 : a + 1 + len(own)] += self.prefix[a]
+        # the inverse power of a place is that of its low bits times that of the rest
+        self.far = _powers(pow(_INVERSE, 1 << _LOW_BITS, 1 << 64), (n >> _LOW_BITS) + 1)
+
+    def back(self, at):
+        return self.far[at >> _LOW_BITS] * _BACKWARD[at & ((1 << _LOW_BITS) - 1)]
 
     def hashes(self, at, length):
         """Hashes of the strings of ``length`` that begin at ``at``."""
-        return (self.prefix[at + length] - self.prefix[at]) * self.back[at]
+        return (self.prefix[at + length] - self.prefix[at]) * self.back(at)
 
-    def pieces(self, length: int) -> np.ndarray:
-        """Hashes of the strings of ``length`` at every place."""
-        n = len(self.data) - length + 1
-        return (self.prefix[length:] - self.prefix[:-length]) * self.back[:n] if n > 0 else np.zeros(0, _U)
+    def pieces(self, length: int, start: int, end: int) -> np.ndarray:
+        """Hashes of the strings of ``length`` at the places from ``start`` to ``end``, as far as there are any."""
+        end = min(end, len(self.data) - length + 1)
+        if end <= start:
+            return np.zeros(0, _U)
+        return (self.prefix[start + length : end + length] - self.prefix[start:end]) * (_BACKWARD[: end - start] * _U(pow(_INVERSE, start, 1 << 64)))
 
     def common(self, x: np.ndarray, y: np.ndarray, most: int = LENGTH) -> np.ndarray:
         """The common extension of the suffixes at ``x`` and ``y``, up to ``most``, by binary search."""
@@ -177,7 +194,7 @@ def passage_classes(text: Text, key: np.ndarray, at: np.ndarray, length: np.ndar
 class Group:
     """The documents of one group: their strings, anchors and passages."""
 
-    def __init__(self, table: pa.Table, copies: set[tuple[int, bytes]], buckets: int, code_bytes: int):
+    def __init__(self, table: pa.Table, copies: set[tuple[int, bytes]], code_buckets: int, buckets: int, code_bytes: int):
         ids, texts = table.column("key").to_pylist(), table.column("data").to_pylist()
         rows = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.keys = rows, np.array([ids[i] for i in rows], np.int64)
@@ -188,34 +205,19 @@ class Group:
         copied = {k for k, _ in copies}
         self.copy = np.array([ids[i] in copied and (ids[i], hashlib.sha256(texts[i]).digest()) in copies for i in rows], bool)
         self.text = Text(b"".join([texts[i] for i in rows]))
-        n = len(self.text.data)
         # strings that begin at a place: not in copies, none over a document's end
         use = np.flatnonzero((sizes >= LENGTH) & ~self.copy)
-        mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, self.starts[use], 1)
-        np.add.at(mark, self.ends[use] - LENGTH + 1, -1)
-        begins = np.flatnonzero(np.cumsum(mark[:-1]))
-        h = _mixed(self.text.pieces(ANCHOR))
-        if len(begins):
-            low = (h & ~_MASK) | np.arange(len(h), dtype=_U)
-            reach = 1
-            while reach * 2 <= LENGTH - ANCHOR + 1:
-                low = np.minimum(low[:-reach], low[reach:])
-                reach *= 2
-            rest = LENGTH - ANCHOR + 1 - reach
-            low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-            place = (low[begins] & _MASK).astype(np.int64)
-        else:
-            place = np.zeros(0, np.int64)
-        new = np.ones(len(place), bool)
-        new[1:] = place[1:] != place[:-1]
+        begin, end = self.starts[use], self.ends[use] - LENGTH + 1
+        found = [self._anchors(begin, end, a, a + _BLOCK) for a in range(0, len(self.text.data), _BLOCK)]
+        self.anchor, self.hash, self.first, count = (np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, _U, np.int64, np.int64)))
+        # an anchor whose strings begin in two blocks is one
+        new = np.ones(len(self.anchor), bool)
+        new[1:] = self.anchor[1:] != self.anchor[:-1]
         heads = np.flatnonzero(new)
-        self.anchor = place[heads]
-        self.first = begins[heads]
-        self.count = np.diff(np.concatenate([heads, [len(place)]]))
-        self.hash = h[self.anchor] if len(heads) else np.zeros(0, _U)
+        self.count = np.add.reduceat(count, heads) if len(heads) else count
+        self.anchor, self.hash, self.first = self.anchor[heads], self.hash[heads], self.first[heads]
         self.row = np.searchsorted(self.ends, self.anchor, side="right")
-        bucket, code = (self.hash % self.buckets).astype(np.int64), self.hash >> self.shift
+        bucket, code = (self.hash % _U(code_buckets)).astype(np.int64), self.hash >> self.shift
         order = np.lexsort((code, bucket))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (bucket[order[1:]] != bucket[order[:-1]]) | (code[order[1:]] != code[order[:-1]])
@@ -224,6 +226,28 @@ class Group:
         self.inverse = np.empty(len(order), np.int64)
         self.inverse[order] = np.cumsum(fresh) - 1
 
+    def _anchors(self, begin: np.ndarray, end: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors of the strings that begin from ``a`` to ``b``: place, hash, the first of its strings, how many in a row."""
+        lo, hi = np.searchsorted(end, a, side="right"), np.searchsorted(begin, b)
+        first, last = np.maximum(begin[lo:hi], a), np.minimum(end[lo:hi], b)
+        size = last - first
+        begins = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if not len(begins):
+            return np.zeros(0, np.int64), np.zeros(0, _U), begins, begins
+        h = _mixed(self.text.pieces(ANCHOR, a, b + LENGTH - ANCHOR))
+        low = (h & ~_MASK) | np.arange(len(h), dtype=_U)
+        reach = 1
+        while reach * 2 <= LENGTH - ANCHOR + 1:
+            low = np.minimum(low[:-reach], low[reach:])
+            reach *= 2
+        rest = LENGTH - ANCHOR + 1 - reach
+        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        place = (low[begins - a] & _MASK).astype(np.int64)
+        new = np.ones(len(place), bool)
+        new[1:] = place[1:] != place[:-1]
+        heads = np.flatnonzero(new)
+        return place[heads] + a, h[place[heads]], begins[heads], np.diff(np.concatenate([heads, [len(place)]]))
+
     def codes(self, code_bytes: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
         """Buckets with, for each, the codes of its anchors and a byte for each: 0 for one passage in one document, or at most 255 passages."""
         if not len(self.order):
@@ -385,6 +409,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = cut(base.select("key", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("n_bytes")))
     total = known.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = pieces(total, GROUP_BYTES, spark), pieces(total, BUCKET_BYTES, spark)
+    code_buckets = min(buckets, pieces(total, CODE_BYTES, spark))
     # with 10 bits over the number of bytes, hardly an anchor shares its code by chance
     code_bytes = min(8, -(-(total.bit_length() + 10) // 8))
     # rows without an id share a key, so their texts deal them
@@ -397,14 +422,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copy_rows = copies.select("gid", F.lit(None).cast("long").alias("bucket"), F.col("key").alias("copy"), F.unhex("digest").alias("flags"), none("least"), none("runs"))
 
     def send_codes(_, left, right):
-        b, codes, numbers = Group(left, _copies(right), buckets, code_bytes).codes(code_bytes) if left.num_rows else (np.zeros(0, np.int64), [], [])
+        b, codes, numbers = Group(left, _copies(right), code_buckets, buckets, code_bytes).codes(code_bytes) if left.num_rows else (np.zeros(0, np.int64), [], [])
         own = left.column("gid")[0].as_py() if left.num_rows else 0
         return pa.table({"gid": pa.array([own] * len(b), pa.int64()), "bucket": pa.array(b), "codes": pa.array(codes, pa.binary()), "numbers": pa.array(numbers, pa.binary())})
 
     def send_passages(_, left, right):
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(["gid", "bucket", *_BLOBS], [pa.int64(), pa.int64(), *[pa.binary()] * 5], strict=True)})
-        g, side = Group(left, _copies(right), buckets, code_bytes), _split(right)
+        g, side = Group(left, _copies(right), code_buckets, buckets, code_bytes), _split(right)
         flags = dict(zip(side.column("bucket").to_pylist(), side.column("flags").to_pylist(), strict=True))
         p = g.passages(flags)
         to = sorted({*flags, *p["bucket"].tolist()})
@@ -426,7 +451,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def remove(_, left, right):
         kept, removed, ids = [], [], []
         if left.num_rows:
-            g, side = Group(left, _copies(right), buckets, code_bytes), _split(right)
+            g, side = Group(left, _copies(right), code_buckets, buckets, code_bytes), _split(right)
             at = side.column("bucket").to_pylist()
             order = sorted(range(len(at)), key=at.__getitem__)
             column = lambda name: [side.column(name)[i].as_py() for i in order]
@@ -439,7 +464,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base_at += len(y) // 8
             run = np.concatenate(runs)
             n = len(g.text.data)
-            mark = np.zeros(n + 1, np.int64)
+            mark = np.zeros(n + 1, np.int32)
             of = p["of"]
             whole = p["of_owner"] > least[of] if len(of) else np.zeros(0, bool)
             np.add.at(mark, p["of_at"][whole], 1)
@@ -450,7 +475,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             begin = np.repeat(p["of_at"][rest], hi - lo)
             np.add.at(mark, begin + run[take, 1], 1)
             np.add.at(mark, begin + run[take, 2] + LENGTH, -1)
-            gone = np.cumsum(mark[:-1]) > 0
+            np.cumsum(mark, out=mark)
+            gone = mark[:-1] > 0
             data, row_ids = g.text.data, left.column("row_id").to_pylist()
             for k, i in enumerate(g.rows):
                 a, b = int(g.starts[k]), int(g.ends[k])
