@@ -559,14 +559,8 @@ def signature_size(spark, sf_dir):
     return reached.groupBy(F.col("start").alias("seed")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'placed' AS a1, x AS axiom_type FROM (VALUES ('TransitiveObjectProperty'), ('FunctionalObjectProperty')) v(x)""")
-def property_characteristics(spark, sf_dir):
-    rows = spark.createDataFrame([("placed", "TransitiveObjectProperty"), ("placed", "FunctionalObjectProperty"), ("placed", "ObjectPropertyDomain"), ("other", "SymmetricObjectProperty")], "a1 string, axiom_type string")
-    return rows.where(F.col("axiom_type").isin(*store.CHARACTERISTICS) & (F.col("a1") == "placed"))
-
-
-@query(f"""WITH {GRAMS}, f AS (SELECT a.text AS term, b.text AS text, CASE WHEN max((a.whole AND b.whole)::INT) = 1 THEN 'Full' ELSE 'Partial' END AS match FROM g a JOIN g b ON a.gram = b.gram WHERE a.text LIKE '%blue%' GROUP BY a.text, b.text),
- d AS (SELECT p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS definitions FROM part GROUP BY p_name) SELECT term, text, match, text AS labels, definitions FROM f JOIN d ON p_name = text""")
+@query(f"""WITH {GRAMS}, f AS (SELECT a.text AS term, b.text AS text, CASE WHEN max((a.whole AND b.whole)::INT) = 1 THEN 'Full' ELSE 'Partial' END AS match FROM g a JOIN g b ON a.gram = b.gram GROUP BY a.text, b.text),
+ d AS (SELECT p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS definitions FROM part GROUP BY p_name) SELECT term, text, match, 'rdfs:label' AS annotation, text AS labels, definitions FROM f JOIN d ON p_name = text""")
 def find_entities_report(spark, sf_dir):
     """Search results with each entity's labels and definitions."""
     from .schema import DEFINITION
@@ -574,5 +568,5 @@ def find_entities_report(spark, sf_dir):
     p = Tables(spark, sf_dir).part
     subject = F.concat(F.lit("name/"), "p_name").alias("subject")
     notes = p.select(subject, F.lit(LABEL).alias("prop"), F.col("p_name").alias("value")).union(p.select(subject, F.lit(DEFINITION).alias("prop"), F.col("p_type").alias("value"))).distinct()
-    found = search.find_entities(p.where("p_name like '%blue%'").select(F.col("p_name").alias("term")), search.build_index(notes))
-    return search.decorated(found, notes, DEFINITION).select("term", "text", "match", "labels", "definitions")
+    found = search.find_entities(p.select(F.col("p_name").alias("term")), search.build_index(notes))
+    return search.decorated(found, notes, DEFINITION).select("term", "text", "match", search.short_name(F.col("prop")).alias("annotation"), "labels", "definitions")

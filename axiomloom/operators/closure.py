@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoints import settled
 
-MAX_ROUNDS = 10_000
+MAX_ROUNDS, COMPACT = 10_000, 16
 
 
 def _walk(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFrame:
@@ -22,12 +22,16 @@ def _walk(edges: DataFrame, start: DataFrame, max_depth: int | None) -> DataFram
     step = edges.select("src", "dst").distinct()
     known = fresh = settled(start)
     rounds = 0
-    while (max_depth is None or rounds < max_depth) and rounds < MAX_ROUNDS:
+    while max_depth is None or rounds < max_depth:
         new = fresh.join(step, fresh["node"] == step["src"]).select("start", F.col("dst").alias("node"), F.lit(rounds + 1).alias("depth")).distinct()
         new = settled(new.join(known.select("start", "node"), ["start", "node"], "left_anti"))
         if new.isEmpty():
             break
         known, fresh, rounds = known.unionByName(new), new, rounds + 1
+        if rounds == MAX_ROUNDS:
+            raise RuntimeError(f"Paths of over {MAX_ROUNDS} steps: the closure is not complete.")
+        if rounds % COMPACT == 0:  # so that a round reads few tables, however many came before it
+            known = settled(known)
     return known
 
 
@@ -95,9 +99,15 @@ def direct(edges: DataFrame) -> DataFrame:
     reach = settled(closure(edges).select("start", "node"))
     back = reach.select(F.col("start").alias("node"), F.col("node").alias("start"))
     strict = settled(reach.join(back, ["start", "node"], "left_anti"))
-    upper = strict.select(F.col("start").alias("mid"), F.col("node").alias("dst"))
-    longer = strict.select(F.col("start").alias("src"), F.col("node").alias("mid")).join(upper, "mid").select("src", "dst").distinct()
-    return strict.select(F.col("start").alias("src"), F.col("node").alias("dst")).join(longer, ["src", "dst"], "left_anti")
+    same = settled(reach.join(back, ["start", "node"], "left_semi").where("start <> node"))
+    # a direct superior is the end of a told edge from the node or one of its equals, or an equal of that end
+    told = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    told = told.unionByName(told.join(same.toDF("eq", "src"), "src").select(F.col("eq").alias("src"), "dst"))
+    told = told.unionByName(told.join(same.toDF("dst", "eq"), "dst").select("src", F.col("eq").alias("dst"))).distinct()
+    told = settled(told.join(strict.toDF("src", "dst"), ["src", "dst"], "left_semi"))
+    # one with another told superior below it isn't direct
+    over = told.select("src", F.col("dst").alias("mid")).join(strict.toDF("mid", "dst"), "mid").select("src", "dst")
+    return told.join(over, ["src", "dst"], "left_anti")
 
 
 def redundant(told: DataFrame) -> DataFrame:

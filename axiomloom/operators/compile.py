@@ -82,7 +82,7 @@ def links(rows: DataFrame) -> DataFrame:
             part = rows.where((F.col(f"`{column}`") != "") & F.col("kind").isin(*kinds)).select(axiom.alias("axiom_type"), "id", F.explode(split_delimited(F.col(f"`{column}`"))).alias("other"))
             parts.append(part.select("axiom_type", F.col("other" if turned else "id").alias("a1"), F.col("id" if turned else "other").alias("a2")))
     if "characteristics" in rows.columns:
-        items = rows.where("characteristics <> ''").select("id", "kind", F.explode(F.filter(F.transform(F.split(F.lower("characteristics"), ","), F.trim), lambda x: x != "")).alias("item"))
+        items = rows.where("characteristics <> ''").select("id", "kind", F.explode(F.filter(F.transform(F.split(F.lower("characteristics"), ","), lambda x: F.trim(x)), lambda x: x != "")).alias("item"))
         named = F.element_at(F.create_map(*[F.lit(x) for kv in CHARACTERISTICS.items() for x in kv]), F.col("item"))
         axiom = F.when((F.col("kind") == DATA_PROPERTY) & (F.col("item") == "functional"), "FunctionalDataProperty").when(F.col("kind") == OBJECT_PROPERTY, named)
         parts.append(items.select(axiom.alias("axiom_type"), F.col("id").alias("a1"), F.lit(None).cast("string").alias("a2")))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import settled
@@ -55,6 +55,7 @@ class Reasoner:
         self.spark, self.axioms, self.expressions = axioms.sparkSession, axioms, expressions
         self.declared = self.of("Declaration").select(F.col("a1").alias("iri"), F.col("a2").alias("kind")).distinct()
         self._state: tuple[DataFrame, DataFrame] | None = None
+        self._closed: tuple[DataFrame, DataFrame] | None = None
 
     def of(self, *kinds: str) -> DataFrame:
         return self.axioms.where(F.col("axiom_type").isin(*kinds) & ~F.coalesce("negative", F.lit(False)))
@@ -80,11 +81,40 @@ class Reasoner:
         return self.of("TransitiveObjectProperty").select(F.col("a1").alias("prop"))
 
     def facts(self) -> DataFrame:
-        """``(subject, prop, object)`` between individuals, closed under the properties' rules."""
-        if not hasattr(self, "_facts"):
-            told = self.of("ObjectPropertyAssertion").select(F.col("a1").alias("subject"), F.col("a2").alias("prop"), F.col("a3").alias("object"))
-            self._facts = settled(inference.property_values(told, self.roles(), self.inverses(), self.symmetric(), self.transitive()))
-        return self._facts
+        """``(subject, prop, object)`` between individuals, closed under the properties' rules and under what is the same."""
+        if self._closed is None:
+            self._closed = self._settle_individuals()
+        return self._closed[0]
+
+    def same(self) -> DataFrame:
+        """``(a, b)``, ``a <> b``: individuals that are one, told to be or by functional and inverse functional properties."""
+        if self._closed is None:
+            self._closed = self._settle_individuals()
+        return self._closed[1]
+
+    def _settle_individuals(self) -> tuple[DataFrame, DataFrame]:
+        told = self.of("ObjectPropertyAssertion").select(F.col("a1").alias("subject"), F.col("a2").alias("prop"), F.col("a3").alias("object"))
+        close = lambda facts: settled(inference.property_values(facts, self.roles(), self.inverses(), self.symmetric(), self.transitive()))
+        facts, pairs = close(told), settled(pairwise(self.of("SameIndividual")).select("a", "b"))
+        once = self.of("FunctionalObjectProperty", "InverseFunctionalObjectProperty")
+        if pairs.isEmpty() and once.isEmpty():
+            return facts, pairs
+        at_most_one = once.where("axiom_type = 'FunctionalObjectProperty'").select(F.col("a1").alias("prop"))
+        back = once.where("axiom_type = 'InverseFunctionalObjectProperty'").select(F.col("a1").alias("prop"))
+        while True:
+            # one value stands for all of a subject, so that a hot subject gives no pairs of all its values
+            fore = facts.join(at_most_one, "prop", "left_semi").withColumn("one", F.min("object").over(Window.partitionBy("subject", "prop"))).select("one", F.col("object").alias("other"))
+            hind = facts.join(back, "prop", "left_semi").withColumn("one", F.min("subject").over(Window.partitionBy("object", "prop"))).select("one", F.col("subject").alias("other"))
+            new = fore.union(hind).where("one <> other").toDF("a", "b").distinct()
+            edges = settled(pairs.union(new).union(pairs.select("b", "a")).union(new.select("b", "a")).distinct())
+            pairs = settled(closure(edges.toDF("src", "dst")).where("start <> node").select(F.col("start").alias("a"), F.col("node").alias("b")))
+            moved = facts.join(pairs.toDF("subject", "s2"), "subject").select(F.col("s2").alias("subject"), "prop", "object")
+            more = facts.union(moved)
+            more = more.union(more.join(pairs.toDF("object", "o2"), "object").select("subject", "prop", F.col("o2").alias("object"))).distinct()
+            more = close(more)
+            if more.count() == facts.count():
+                return more, pairs
+            facts = more
 
     def _told(self) -> dict[str, DataFrame]:
         x = self.expressions
@@ -101,7 +131,7 @@ class Reasoner:
         conj = conj.union(apart.select("b1", "b2", F.lit(NOTHING)))
         same = pairwise(self.of("EquivalentClasses")).select("a", "b")
         sub = self.pairs("SubClassOf").union(same).union(self.pairs("ClassAssertion")).union(parts.select("x", "c"))
-        sub = sub.union(x.where("op in ('or', 'oneof')").select(F.explode("operands"), "expr_id"))
+        sub = sub.union(x.where("op in ('or', 'oneof')").select(F.explode("operands"), "expr_id")).union(self.same())
         some = x.where("op in ('some', 'value') or (op in ('min', 'exactly') and card >= 1)").select("expr_id", "prop", F.coalesce("filler", F.lit(THING)).alias("filler"), "op", "card")
         has = some.select("expr_id", "prop", "filler").union(self.facts())
         # "at least n" follows from one only for n = 1
@@ -182,7 +212,40 @@ class Reasoner:
         back = facts.toDF("object", "prop", "subject").select("subject", "prop", "object")
         turned = facts.join(self.of("AsymmetricObjectProperty").select(F.col("a1").alias("prop")), "prop", "left_semi").join(back, ["subject", "prop", "object"], "left_semi").select(F.lit("asymmetric property both ways"), "subject")
         functional = data.join(self.of("FunctionalDataProperty").select(F.col("a1").alias("a2")), "a2", "left_semi").groupBy("a1", "a2").agg(F.countDistinct("a3").alias("n")).where("n > 1").select(F.lit("several values of a functional data property"), "a1")
-        return reduce(DataFrame.union, [empty, both, both_data, own, turned, functional]).toDF("reason", "item").distinct()
+        apart = pairwise(self.of("DifferentIndividuals")).select("a", "b")
+        one = apart.join(self.same(), ["a", "b"], "left_semi").select(F.lit("different individuals that are one"), "a")
+        return reduce(DataFrame.union, [empty, both, both_data, own, turned, functional, one, self._too_many()]).toDF("reason", "item").distinct()
+
+    def _too_many(self) -> DataFrame:
+        """Individuals of a class "at most n r C" that have over n different ones: values said to differ pairwise are counted."""
+        if self.expressions.where("op in ('max', 'exactly')").isEmpty():
+            return self._rows([], "reason string, item string")
+        most = self.expressions.where("op in ('max', 'exactly')").select(F.col("expr_id").alias("b"), F.col("prop").alias("r"), F.coalesce("filler", F.lit(THING)).alias("filler"), "card")
+        sub, _ = self.saturated()
+        apart = pairwise(self.of("DifferentIndividuals")).select("a", "b").distinct()
+        held = sub.join(most, "b").select(F.col("a").alias("subject"), F.col("r").alias("prop"), "filler", "card", F.col("b").alias("limit"))
+        values = held.join(self.facts(), ["subject", "prop"]).join(sub.toDF("object", "filler"), ["object", "filler"], "left_semi")
+        # over n of them that all differ: so it is if one differs from n others that differ from each other, which named lists state at once
+        groups = self.of("DifferentIndividuals").select("axiom_id", F.explode(F.array_distinct("operands")).alias("object"))
+        counted = values.join(groups, "object").groupBy("subject", "prop", "limit", "card", "axiom_id").agg(F.countDistinct("object").alias("n")).where("n > card")
+        none = values.where("card = 0").select("subject")
+        pairs = values.alias("x").join(values.select("subject", "limit", F.col("object").alias("other")), ["subject", "limit"]).where("card = 1 and object < other")
+        pairs = pairs.join(apart.toDF("object", "other"), ["object", "other"], "left_semi").select("subject")
+        return counted.select("subject").union(none).union(pairs).distinct().select(F.lit("more than a class allows").alias("reason"), "subject")
+
+    def ignored(self) -> DataFrame:
+        """``(axiom_id, axiom_type)`` of the axioms of which the rules use only a part or nothing: not all may be inferred that follows from them."""
+        beyond = self.expressions.where("op in ('or', 'only', 'oneof', 'self', 'datatype') or (op in ('min', 'exactly') and card > 1) or op in ('max', 'exactly')").select("expr_id")
+        inside = self.expressions.select("expr_id", F.explode(F.concat(F.coalesce("operands", F.array().cast("array<string>")), F.array("filler"))).alias("part")).where("part is not null")
+        known = settled(beyond)
+        while True:
+            more = settled(inside.join(known.toDF("part"), "part", "left_semi").select("expr_id").distinct().join(known, "expr_id", "left_anti"))
+            if more.isEmpty():
+                break
+            known = settled(known.union(more))
+        sides = self.axioms.select("axiom_id", "axiom_type", F.explode(F.concat(F.array("a1", "a2"), F.coalesce("operands", F.array().cast("array<string>")))).alias("expr_id"))
+        unknown = self.of("HasKey", "SubPropertyChainOf", "ReflexiveObjectProperty").select("axiom_id", "axiom_type")
+        return sides.join(known, "expr_id", "left_semi").select("axiom_id", "axiom_type").union(unknown).distinct()
 
     def consistent(self) -> bool:
         return self.clashes().isEmpty()
@@ -222,9 +285,10 @@ class Reasoner:
     def inverse_pairs(self) -> DataFrame:
         """``(a, b)``: inverse object properties, also of equivalents, and symmetric ones of themselves."""
         same = pairwise(self.of("EquivalentObjectProperties")).select("a", "b")
-        own = self.inverses().toDF("a", "b").union(self.symmetric().select("p", "p"))
-        own = own.union(own.select("b", "a")).distinct()
-        return own.union(own.join(same.toDF("a", "c"), "a").select("c", "b")).union(own.toDF("b", "a").join(same.toDF("a", "c"), "a").select("c", "b")).distinct()
+        turned = lambda df: df.union(df.select("b", "a")).distinct()
+        widened = lambda df: turned(df.union(df.join(same.toDF("a", "c"), "a").select("c", "b")))
+        own = turned(self.inverses().toDF("a", "b").union(self.symmetric().select("p", "p")))
+        return widened(widened(own))
 
     def infer(self, kinds) -> DataFrame:
         """``(axiom_type, a1, a2, a3, operands, datatype, lang)`` of the inference types ``kinds``."""

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.phrases import STOP_WORDS, depunctuate, phrase_words, sub_phrases
 from ..functions.porter import stem_phrases
-from ..schema import LABEL, SEARCHED
+from ..schema import LABEL, PREFIXES, SEARCHED
 
 FULL, PARTIAL = "Full", "Partial"
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
+
+
+def decomposed(col):
+    """Column: ``col`` in compatibility decomposition; ASCII text, which that leaves as it is, stays in the JVM."""
+    other = F.regexp_like(col, F.lit(r"[^\x00-\x7F]"))
+    return F.when(other, _decomposed(F.when(other, col))).otherwise(col)
+
+
 def normal(col):
-    """Column: a phrase in the form in which phrases are compared, before stemming."""
-    return F.regexp_replace(F.trim(depunctuate(F.lower(col))), r"\s+", " ")
+    """Column: a phrase in the form in which phrases are compared, before stemming: ligatures taken apart, accents apart from letters, all spaces alike."""
+    return F.regexp_replace(F.trim(depunctuate(decomposed(F.lower(col)))), r"\s+", " ")
+
+
+def short_name(col):
+    """Column: the prefixed name of a searched annotation property; any other IRI as it is."""
+    out = col
+    for prefix, space in PREFIXES.items():
+        out = F.when(col.isin(*SEARCHED) & F.startswith(col, F.lit(space)), F.concat(F.lit(prefix + ":"), F.substring(col, len(space) + 1, 200))).otherwise(out)
+    return out
 
 
 def _stemmed(df: DataFrame, phrase: str, stem: bool) -> DataFrame:

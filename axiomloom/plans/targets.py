@@ -11,10 +11,11 @@ import urllib.request
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..ontology import Catalog, Ontology
 from ..operators import documents, reason, search
-from ..schema import DEFINITION, LABEL
+from ..schema import DEFINITION
 from ..sources.tables import read_tables
 from . import builder
 from .config import Config, ConfigError
@@ -359,16 +360,15 @@ class FindEntities(Target):
         notes = notes.distinct()
         terms = self.spark.createDataFrame([(x.strip(),) for x in lines], "term string").distinct()
         found = search.decorated(search.find_entities(terms, search.build_index(notes)), notes, DEFINITION)
-        rows: dict[str, list] = {}
-        for r in found.orderBy("term", "match", "iri", "text").collect():
-            prop = "rdfs:label" if r["prop"] == LABEL else r["prop"]
-            rows.setdefault(r["term"], []).append((r["term"], r["iri"], r["labels"], prop, r["text"], r["match"], r["definitions"]))
+        # each line of the input gives its own block, in the input's order
+        asked = self.spark.createDataFrame([(k, x.strip()) for k, x in enumerate(lines)], "line long, term string")
+        rows = asked.join(found, "term").orderBy("line", "match", "iri", "text").select("term", "iri", "labels", search.short_name(F.col("prop")).alias("prop"), "text", "match", "definitions")
         out = open(self.out, "w", encoding="utf-8", newline="") if self.out else sys.stdout
         try:
             w = csv.writer(out)
             w.writerow(self.COLUMNS)
-            for term in dict.fromkeys(x.strip() for x in lines):
-                w.writerows(rows.get(term, []))
+            for r in rows.toLocalIterator():  # one partition at a time
+                w.writerow(r)
         finally:
             if self.out:
                 out.close()

@@ -39,6 +39,9 @@ SEARCHED = (
     SKOS + "hiddenLabel",
 )
 
+#: How short names of the searched properties begin; fixed values.
+PREFIXES = {"rdfs": RDFS, "oboInOwl": OIO, "skos": SKOS}
+
 #: One row for each axiom. ``a1`` to ``a3`` are IRIs, literals or keys of class expressions, by ``axiom_type``.
 AXIOM = T.StructType(
     [

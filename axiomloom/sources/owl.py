@@ -145,7 +145,10 @@ def from_triples(triples, prefixes=None) -> Document:
 
     prefix = {OBJECT_PROPERTY: "Object", DATA_PROPERTY: "Data"}
     for s, ps in by.items():
-        if s in ontologies or types.get(s, set()) & {OWL + "Axiom", OWL + "Annotation", OWL + "AllDifferent"}:
+        if s in ontologies or types.get(s, set()) & {OWL + "Axiom", OWL + "Annotation"}:
+            continue
+        if OWL + "AllDifferent" in types.get(s, set()):
+            doc.add("DifferentIndividuals", operands=[i[0] for i in listed(one(s, OWL + "distinctMembers") or one(s, OWL + "members"))])
             continue
         if OWL + "NegativePropertyAssertion" in types.get(s, set()):
             subject, p = one(s, OWL + "sourceIndividual"), one(s, OWL + "assertionProperty")
@@ -194,6 +197,10 @@ def from_triples(triples, prefixes=None) -> Document:
                     add(f"Equivalent{prefix.get(property_kind(s, o), 'Object')}Properties", s, p, o, operands=[s, o])
                 elif p == OWL + "propertyDisjointWith":
                     add(f"Disjoint{prefix.get(property_kind(s, o), 'Object')}Properties", s, p, o, operands=[s, o])
+                elif p == OWL + "sameAs":
+                    add("SameIndividual", s, p, o, operands=[s, o])
+                elif p == OWL + "differentFrom":
+                    add("DifferentIndividuals", s, p, o, operands=[s, o])
                 elif p == OWL + "inverseOf" and named:
                     add("InverseObjectProperties", s, p, o, s, o)
                 elif p == RDFS + "domain":
@@ -320,7 +327,8 @@ def to_triples(doc: Document) -> list[tuple]:
         "ObjectPropertyDomain": RDFS + "domain", "DataPropertyDomain": RDFS + "domain", "AnnotationPropertyDomain": RDFS + "domain",
         "ObjectPropertyRange": RDFS + "range", "DataPropertyRange": RDFS + "range", "AnnotationPropertyRange": RDFS + "range",
     }
-    many = {"EquivalentClasses": OWL + "equivalentClass", "DisjointClasses": OWL + "disjointWith", "EquivalentObjectProperties": OWL + "equivalentProperty", "EquivalentDataProperties": OWL + "equivalentProperty", "DisjointObjectProperties": OWL + "propertyDisjointWith", "DisjointDataProperties": OWL + "propertyDisjointWith"}
+    many = {"EquivalentClasses": OWL + "equivalentClass", "DisjointClasses": OWL + "disjointWith", "EquivalentObjectProperties": OWL + "equivalentProperty", "EquivalentDataProperties": OWL + "equivalentProperty", "DisjointObjectProperties": OWL + "propertyDisjointWith", "DisjointDataProperties": OWL + "propertyDisjointWith", "SameIndividual": OWL + "sameAs", "DifferentIndividuals": OWL + "differentFrom"}
+    groups = {"DisjointClasses": ("AllDisjointClasses", "members"), "DifferentIndividuals": ("AllDifferent", "distinctMembers")}
     for row in sorted(doc.axioms.values(), key=lambda r: (r["axiom_type"] != "Declaration", r["a1"] or "", r["axiom_type"], r["axiom_id"])):
         kind, a1, a2, a3 = (row[k] for k in ("axiom_type", "a1", "a2", "a3"))
         if kind == "Declaration":
@@ -330,10 +338,10 @@ def to_triples(doc: Document) -> list[tuple]:
             t = (s, two[kind], o, "blank" if o.startswith("_:") else "iri", "", "")
         elif kind in many:
             parts = [expr(x) for x in row["operands"]]
-            if kind == "DisjointClasses" and len(parts) > 2:
+            if kind in groups and len(parts) > 2:
                 b = blank()
-                iri(b, RDF + "type", OWL + "AllDisjointClasses")
-                iri(b, OWL + "members", chain([(x, "blank" if x.startswith("_:") else "iri", "", "") for x in parts]))
+                iri(b, RDF + "type", OWL + groups[kind][0])
+                iri(b, OWL + groups[kind][1], chain([(x, "blank" if x.startswith("_:") else "iri", "", "") for x in parts]))
                 continue
             parts.sort(key=lambda x: x.startswith("_:"))
             for x in parts[1:]:

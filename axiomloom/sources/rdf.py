@@ -28,17 +28,46 @@ class RDFError(ValueError):
     """A document that can't be read."""
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """The triples of N-Triples files, line by line in the JVM. Lines that are no triple are left out."""
-    lines = spark.read.text(path).where(F.regexp_like("value", F.lit(_LINE)))
+#: Parts of a string with escapes: one escape, or what stands between two.
+_PARTS = r"(?s)\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)|[^\\]+"
+
+
+def unescaped(col):
+    """Column: ``col`` with its escapes undone, in one pass from left to right."""
+
+    def part(x):
+        code = F.substring(x, 3, 8)
+        wide = F.decode(F.unhex(code), "UTF-32")
+        narrow = F.decode(F.unhex(F.concat(F.lit("0000"), code)), "UTF-32")
+        sign = F.substring(x, 2, 1)
+        plain = F.when(sign == "t", "\t").when(sign == "n", "\n").when(sign == "r", "\r").when(sign == "b", "\b").when(sign == "f", "\f").otherwise(sign)
+        return F.when(~F.startswith(x, F.lit("\\")), x).when(F.length(x) == 10, wide).when(F.length(x) == 6, narrow).otherwise(plain)
+
+    done = F.array_join(F.transform(F.regexp_extract_all(col, F.lit(_PARTS), F.lit(0)), part), "")
+    return F.when(F.contains(col, F.lit("\\")), done).otherwise(col)
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """The triples of N-Triples files, line by line in the JVM.
+
+    Blank lines and comments are passed over. Any other line that is no triple is an error
+    that quotes it; with ``strict`` false it is left out.
+    """
+    lines = spark.read.text(path).where(~F.regexp_like("value", F.lit(r"^\s*(?:#.*)?$")))
+    fits = F.regexp_like("value", F.lit(_LINE))
+    if strict:
+        lines = lines.select(F.when(fits, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("Not a triple: "), "value"))).alias("value"))
+    else:
+        lines = lines.where(fits)
     s, p, o = (F.regexp_extract("value", _LINE, k) for k in (1, 2, 3))
     rows = lines.select(s.alias("s"), p.alias("p"), o.alias("o"))
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    bare = lambda c: unescaped(F.regexp_replace(c, "^<|>$", ""))
     kind = F.when(F.startswith("o", F.lit("<")), "iri").when(F.startswith("o", F.lit("_:")), "blank").otherwise("literal")
-    text = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*+)"', 1)
-    for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\r", "\r"), (r"\\t", "\t"), (r"\\\\", r"\\")):
-        text = F.regexp_replace(text, a, b)
-    return rows.select(bare(F.col("s")).alias("s"), "p", F.when(kind == "literal", text).otherwise(bare(F.col("o"))).alias("o"), kind.alias("kind"), F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1).alias("datatype"), F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1).alias("lang"))
+    text = unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*+)"', 1))
+    return rows.select(
+        bare(F.col("s")).alias("s"), unescaped(F.col("p")).alias("p"), F.when(kind == "literal", text).otherwise(bare(F.col("o"))).alias("o"), kind.alias("kind"),
+        unescaped(F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1)).alias("datatype"), F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1).alias("lang"),
+    )
 
 
 class _Blanks:

@@ -1,8 +1,8 @@
 """Tables of terms from CSV, OpenDocument and Excel files; all values are trimmed text.
 
 Term tables are small and are read on the driver, in order, so that messages can name
-the row; :func:`frame` hands them to Spark. For large files with the same contract,
-:func:`read_csv` reads in parallel.
+the row; :func:`frame` hands them to Spark. For large CSV files with the same contract,
+:func:`read_csv` reads on the executors.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A sheet ends after so many empty rows.
+#: An OpenDocument sheet ends after so many empty rows: its styled but empty rest may be a million.
 EMPTY_ROWS = 1000
 _OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
@@ -105,8 +107,8 @@ def read_csv_tables(path: str) -> list[Table]:
     return [Table(path, "table", columns, out)]
 
 
-def _sheet(path: str, name: str, rows: Iterator[list[str]]) -> Table | None:
-    """A sheet's table: columns to the first blank name, rows to the last before a long empty stretch."""
+def _sheet(path: str, name: str, rows: Iterator[list[str]], most_empty: int | None = None) -> Table | None:
+    """A sheet's table: columns to the first blank name, rows to the last, or to ``most_empty`` empty ones."""
     header = next(rows, None)
     if header is None:
         return None
@@ -120,7 +122,7 @@ def _sheet(path: str, name: str, rows: Iterator[list[str]]) -> Table | None:
             empty = 0
         else:
             empty += 1
-            if empty >= EMPTY_ROWS:
+            if empty == most_empty:
                 break
     return Table(path, name, columns, out)
 
@@ -138,8 +140,9 @@ def read_odf_tables(path: str) -> list[Table]:
         for c in row:
             if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
                 text = "\n".join("".join(p.itertext()) for p in c.findall(f"{_TEXT}p"))
-                # a long run of equal empty cells is only padding to the sheet's edge
-                out += [text] * min(int(c.get(f"{_TABLE}number-columns-repeated", 1)), 1024)
+                times = int(c.get(f"{_TABLE}number-columns-repeated", 1))
+                # a long run of empty cells is only padding to the sheet's edge
+                out += [text] * (times if text else min(times, 1024))
         return out
 
     def rows(table):
@@ -148,7 +151,7 @@ def read_odf_tables(path: str) -> list[Table]:
             for _ in range(min(int(row.get(f"{_TABLE}number-rows-repeated", 1)), EMPTY_ROWS if not any(values) else 1 << 20)):
                 yield values
 
-    sheets = [_sheet(path, t.get(f"{_TABLE}name", ""), rows(t)) for t in root.iter(f"{_TABLE}table")]
+    sheets = [_sheet(path, t.get(f"{_TABLE}name", ""), rows(t), EMPTY_ROWS) for t in root.iter(f"{_TABLE}table")]
     return [s for s in sheets if s]
 
 
@@ -159,16 +162,110 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+#: Number formats that every workbook has; fixed values of the file format.
+BUILT_IN_FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 14: "m/d/yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM",
+    20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0;(#,##0)", 38: "#,##0;(#,##0)", 39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;(#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mm:ss.0", 49: "@",
+}
+_FORMAT_PART = re.compile(r'"([^"]*)"|\\(.)|_.|\*.|\[[^\]]*\]|AM/PM|A/P|y+|m+|d+|h+|s+(?:\.0+)?|.', re.I)
+
+
+def _plain_number(number: float) -> str:
+    return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+
+
+def _shown_date(number: float, form: str, epoch: datetime) -> str:
+    """A day number by a date format; ``m`` after hours or before seconds are minutes."""
+    at = epoch + timedelta(seconds=round(number * 86_400, 3))
+    parts = [m for m in _FORMAT_PART.finditer(form.split(";")[0])]
+    signs = [m[0].lower() for m in parts]
+    clock = any(x in ("am/pm", "a/p") for x in signs)
+    letters = [(k, x) for k, x in enumerate(signs) if x[0] in "ymdhs" and not parts[k][1]]
+    minutes = {k for i, (k, x) in enumerate(letters) if x[0] == "m" and (i and letters[i - 1][1][0] == "h" or i + 1 < len(letters) and letters[i + 1][1][0] == "s")}
+    out = []
+    for k, (m, x) in enumerate(zip(parts, signs, strict=True)):
+        n = len(x)
+        if m[1] is not None or m[2] is not None:
+            out.append(m[1] if m[1] is not None else m[2])
+        elif x in ("[h]", "[hh]"):
+            out.append(str(int(number * 24 + 1e-9)))
+        elif x in ("am/pm", "a/p"):
+            out.append(("AM" if at.hour < 12 else "PM")[: 2 if n > 3 else 1])
+        elif x[0] == "y":
+            out.append(f"{at.year % 100:02d}" if n <= 2 else str(at.year))
+        elif k in minutes:
+            out.append(f"{at.minute:0{min(n, 2)}d}")
+        elif x[0] == "m":
+            out.append([str(at.month), f"{at.month:02d}", _MONTHS[at.month - 1][:3], _MONTHS[at.month - 1], _MONTHS[at.month - 1][0]][min(n, 5) - 1])
+        elif x[0] == "d":
+            out.append([str(at.day), f"{at.day:02d}", _DAYS[at.weekday()][:3], _DAYS[at.weekday()]][min(n, 4) - 1])
+        elif x[0] == "h":
+            hour = (at.hour - 1) % 12 + 1 if clock else at.hour
+            out.append(f"{hour:0{min(n, 2)}d}")
+        elif x[0] == "s":
+            whole, _, part = x.partition(".")
+            out.append(f"{at.second:0{min(len(whole), 2)}d}" + (f".{at.microsecond:06d}"[: len(part) + 1] if part else ""))
+        elif x[0] not in "[_*":
+            out.append(m[0])
+    return "".join(out)
+
+
+_MONTHS = "January February March April May June July August September October November December".split()
+_DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
+
+
+def _shown(number: float, form: str, epoch: datetime) -> str:
+    """A number as a sheet shows it: dates and times, fixed decimals, thousands, percent, exponents; others plainly."""
+    bare = re.sub(r'"[^"]*"|\\.|\[(?!h)[^\]]*\]', "", form)
+    if form.lower() in ("", "general", "@"):
+        return _plain_number(number)
+    if re.search("[ymdhs]", bare, re.I):
+        return _shown_date(number, form, epoch)
+    sections = form.split(";")
+    section = sections[1] if number < 0 and len(sections) > 1 else sections[2] if number == 0 and len(sections) > 2 else sections[0]
+    digits = re.search(r"[#0?,]*[#0?](?:\.[0#?]*)?(?:E[+-]0+)?|\.[0#?]+", re.sub(r'"[^"]*"|\\.', lambda m: " " * len(m[0]), section))
+    if not digits:
+        return "".join(m[1] or m[2] or "" for m in _FORMAT_PART.finditer(section)) or _plain_number(number)
+    own = digits[0]
+    x = abs(number) if section is not sections[0] or len(sections) == 1 else number
+    x = x * 100 if "%" in section else x
+    whole, _, part = own.partition(".")
+    part, power = part.split("E")[0] if "E" in part else part, "E" in own
+    places = len(part)
+    text = f"{x:.{places}E}" if power else f"{Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP):{',' if ',' in whole else ''}.{places}f}"
+    if power:
+        a, _, b = text.partition("E")
+        text = f"{a}E{'-' if b[0] == '-' else '+' if '+' in own else ''}{abs(int(b)):0{max(own.split('E')[1].count('0'), 1)}d}"
+    for _ in range(len(part) - len(part.rstrip("#?"))):
+        text = text[:-1] if text.endswith("0") and "." in text else text
+    text = text.removesuffix(".") if part else text
+    least = whole.replace(",", "").count("0")
+    sign = "-" if number < 0 and section is sections[0] else ""
+    text = text.removeprefix("-")
+    head, dot, tail = text.partition(".")
+    head = head.zfill(least) if least > len(head) else "" if head == "0" and not least and dot else head
+    before, after = section[: digits.start()], section[digits.end() :]
+    literal = lambda t: "".join(m[1] if m[1] is not None else m[2] if m[2] is not None else "" if m[0][0] in "[_*" else m[0] for m in _FORMAT_PART.finditer(t))
+    return sign + literal(before) + head + dot + tail + literal(after)
+
+
 def read_xlsx_tables(path: str) -> list[Table]:
-    """The sheets of an ``.xlsx`` file, formulas by their stored values; an error cell is an error."""
+    """The sheets of an ``.xlsx`` file, as the sheet shows them, formulas by their stored values; an error cell is an error."""
     with zipfile.ZipFile(path) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_SHEET}si")]
+        forms: list[str] = []
+        if "xl/styles.xml" in names:
+            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+            own = BUILT_IN_FORMATS | {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_SHEET}numFmt")}
+            forms = [own.get(int(x.get("numFmtId", 0)), "") for cells in styles.findall(f"{_SHEET}cellXfs") for x in cells.findall(f"{_SHEET}xf")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = []
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
+        book, sheets = ElementTree.fromstring(z.read("xl/workbook.xml")), []
+        since_1904 = any(w.get("date1904") in ("1", "true") for w in book.iter(f"{_SHEET}workbookPr"))
+        epoch = datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
+        for s in book.iter(f"{_SHEET}sheet"):
             target = targets[s.get(f"{_REL}id")]
             sheets.append((s.get("name"), ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))))
 
@@ -184,8 +281,8 @@ def read_xlsx_tables(path: str) -> list[Table]:
         if kind == "b":
             return "TRUE" if text == "1" else "FALSE"
         if kind == "n" and text:
-            number = float(text)
-            return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+            style = int(c.get("s", 0))
+            return _shown(float(text), forms[style] if style < len(forms) else "", epoch)
         return text
 
     def rows(sheet, name):
@@ -233,9 +330,13 @@ def frame(spark: SparkSession, t: Table) -> DataFrame:
     return spark.createDataFrame([(*values, t.file, t.name, number) for number, values in t.rows], kinds)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Large CSV files in parallel: trimmed text, lower-case names, no nulls, no rows of blank cells; a row of another length fails."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("mode", "FAILFAST").option("enforceSchema", False).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """CSV files: trimmed text, lower-case names, no nulls, no rows of blank cells; a row of another length fails.
+
+    Files with line ends inside of quotes are read one task each. Where there are none,
+    ``multiline`` false lets large files be split.
+    """
+    raw = spark.read.option("header", True).option("multiLine", multiline).option("mode", "FAILFAST").option("enforceSchema", False).option("escape", '"').csv(path)
     cols = [F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c.strip().lower()) for c in raw.columns]
     if len({c.strip().lower() for c in raw.columns}) < len(raw.columns):
         raise TableError(f"A column name is used more than once in {path}.")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from axiomloom import catalogue
+from axiomloom import catalogue, catalogue_sources, catalogue_terms  # noqa: F401 -- the last two register queries
 from axiomloom.operators import closure, compile, inference, lookup, store
 from axiomloom.streaming import deltas
 

@@ -130,3 +130,46 @@ def test_redirects():
         net.final_url("http://one.example/gone", Fake)
     with pytest.raises(net.ConnectionFailError):
         net.head("ftp://one.example/a")
+
+
+def test_shown_numbers():
+    from datetime import datetime
+
+    from axiomloom.sources.tables import _shown
+
+    epoch = datetime(1899, 12, 30)
+    cases = [
+        (1234.5, "#,##0.00", "1,234.50"), (0.5, "0%", "50%"), (0.256, "0.0%", "25.6%"), (-3.0, "0;(0)", "(3)"), (5.0, "000", "005"), (12345.678, "0.00E+00", "1.23E+04"), (3.0, "", "3"), (3.25, "General", "3.25"), (2.5, "0", "3"), (0.5, "#.##", ".5"),
+        (45292.0, "yyyy-mm-dd", "2024-01-01"), (45292.75, "d mmm yyyy h:mm AM/PM", "1 Jan 2024 6:00 PM"), (0.5, "h:mm:ss", "12:00:00"), (1.25, "[h]:mm", "30:00"), (45292.0, "m/d/yy", "1/1/24"), (7.0, '0 "kg"', "7 kg"),
+    ]
+    assert [(n, f, _shown(n, f, epoch)) for n, f, _ in cases] == cases
+
+
+def test_bad_triples(spark, tmp_path):
+    import pytest
+
+    from axiomloom.sources import rdf
+
+    (tmp_path / "a.nt").write_text('<a:s> <a:p> "x\\\\new" .\n\n# c\n<a:s> <a:p> oops .\n')
+    assert [r.o for r in rdf.read_ntriples(spark, str(tmp_path), strict=False).collect()] == ["x\\new"]
+    with pytest.raises(Exception, match="Not a triple: <a:s> <a:p> oops"):
+        rdf.read_ntriples(spark, str(tmp_path)).collect()
+
+
+def test_sheets_with_gaps(tmp_path):
+    """A workbook's rows go on after any number of blank ones."""
+    import zipfile
+
+    from axiomloom.catalogue_sources import _xlsx
+    from axiomloom.sources import tables
+
+    data = _xlsx({"s": [[("text", "A", 0)], [("text", "first", 0)]]}, [])
+    path = tmp_path / "gap.xlsx"
+    path.write_bytes(data)
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/worksheets/s1.xml"] = parts["xl/worksheets/s1.xml"].replace(b"</sheetData>", b'<row r="5000"><c t="inlineStr"><is><t>last</t></is></c></row></sheetData>')
+    with zipfile.ZipFile(path, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    assert [(r.number, r["a"]) for r in tables.read_tables(str(path))[0]] == [(2, "first"), (5000, "last")]
