@@ -1,4 +1,4 @@
-"""Locality modules of a few rows, one after another: what the distributed ones are held against.
+"""Locality modules of one document that is held in memory anyway; :mod:`locality` does the same over tables of any size.
 
 An axiom is local for a signature if it says nothing about it once all other names are
 empty (bottom) or everything (top). A module is what is left after taking in, until

@@ -238,7 +238,7 @@ class Reasoner:
         beyond = self.expressions.where("op in ('or', 'only', 'oneof', 'self', 'datatype') or (op in ('min', 'exactly') and card > 1) or op in ('max', 'exactly')").select("expr_id")
         inside = self.expressions.select("expr_id", F.explode(F.concat(F.coalesce("operands", F.array().cast("array<string>")), F.array("filler"))).alias("part")).where("part is not null")
         known = settled(beyond)
-        while True:
+        while not known.isEmpty():
             more = settled(inside.join(known.toDF("part"), "part", "left_semi").select("expr_id").distinct().join(known, "expr_id", "left_anti"))
             if more.isEmpty():
                 break

@@ -180,7 +180,7 @@ def _shown_date(number: float, form: str, epoch: datetime) -> str:
     parts = [m for m in _FORMAT_PART.finditer(form.split(";")[0])]
     signs = [m[0].lower() for m in parts]
     clock = any(x in ("am/pm", "a/p") for x in signs)
-    letters = [(k, x) for k, x in enumerate(signs) if x[0] in "ymdhs" and not parts[k][1]]
+    letters = [(k, x.strip("[]")) for k, x in enumerate(signs) if x.strip("[]")[:1] in tuple("ymdhs") and parts[k][1] is None and parts[k][2] is None]
     minutes = {k for i, (k, x) in enumerate(letters) if x[0] == "m" and (i and letters[i - 1][1][0] == "h" or i + 1 < len(letters) and letters[i + 1][1][0] == "s")}
     out = []
     for k, (m, x) in enumerate(zip(parts, signs, strict=True)):

@@ -1,15 +1,9 @@
 """Distributed locality modules against the plain ones, over random axioms and nested expressions."""
 
-import os
-import sys
-
 import numpy as np
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
-import plain_locality  # noqa: E402
-
-from axiomloom.operators import locality
+from axiomloom.operators import document_locality, locality
 from axiomloom.schema import AXIOM, EXPRESSION
 from axiomloom.sources import owl
 
@@ -68,13 +62,13 @@ def world(seed):
     return doc, [pick(classes), pick([*classes, *props])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_star(spark, seed):
     doc, seeds = world(seed)
     axioms, expressions = owl.frames(spark, doc)
     got = {r.axiom_id for r in locality.star_module(axioms, expressions, spark.createDataFrame([(s,) for s in seeds], "iri string")).select("axiom_id").collect()}
     rows, known = [dict(r) for r in doc.axioms.values()], doc.expressions
-    assert got == plain_locality.star_module(rows, known, set(seeds))
+    assert got == document_locality.star_module(rows, known, set(seeds))
 
 
 def test_star_empty(spark):

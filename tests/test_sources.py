@@ -88,7 +88,7 @@ def test_other_formats():
 def test_ntriples(spark, tmp_path):
     doc = document("zoo.ttl")
     (tmp_path / "z.nt").write_text(writers.write(doc, "N-Triples") + "not a triple\n", encoding="utf-8")
-    got = rdf.read_ntriples(spark, str(tmp_path / "z.nt"))
+    got = rdf.read_ntriples(spark, str(tmp_path / "z.nt"), strict=False)
     want = set(owl.to_triples(doc))
     assert {(r.s, r.p, r.o, r.datatype, r.lang) for r in got.collect() if not r.s.startswith("_:") and not r.o.startswith("_:")} == {(s, p, o, dt, lang) for s, p, o, _, dt, lang in want if not s.startswith("_:") and not o.startswith("_:")}
 
