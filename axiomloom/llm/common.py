@@ -55,6 +55,11 @@ def whole_cells(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def small(settled: DataFrame, most: int = 200_000) -> DataFrame:
+    """``settled``, a checkpointed table of a few numbers a row, marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffle."""
+    return F.broadcast(settled) if settled.count() <= most else settled
+
+
 def words(text):
     """Column: the words ``[^\\x20\\x09-\\x0D]+`` of ``text``, in order; no empty ones."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -68,8 +73,8 @@ def dealt(keyed: DataFrame, key: str, item, tile_rows: int) -> DataFrame:
     so every two rows of a key meet in exactly one cell in which their sides differ, or in
     the one of their own tile (``whole``).
     """
-    large = keyed.groupBy(key).count().where(F.col("count") > tile_rows).select(key, F.ceil(F.col("count") / tile_rows).alias("tiles"))
-    rows = keyed.join(large, key, "left")
+    large = cut(keyed.groupBy(key).count().where(F.col("count") > tile_rows).select(key, F.ceil(F.col("count") / tile_rows).alias("tiles")))
+    rows = keyed.join(small(large), key, "left")
     side = F.coalesce(F.pmod(F.xxhash64(item, F.lit(7)), F.col("tiles")), F.lit(0).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tiles"), F.lit(1).cast("long")) - 1))
     rows = rows.withColumn("side", side).withColumn("other", other)

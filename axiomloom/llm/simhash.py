@@ -137,8 +137,14 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, coords: np.ndarray) -> tuple[n
     label = np.arange(len(nodes))
     a, b = [], []
     i, step = np.arange(len(fp)), 0
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else i
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
     while len(i):
         step += 1
+        if step % 8 == 0:  # buckets whose rows all hang together have nothing more to say
+            own = label[at]
+            open_ = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts)
+            i = i[np.repeat(open_, sizes)[i]]
         i = i[i + step < len(fp)]
         i = i[(key[i + step] == key[i]) & (first[i + step] - first[i] <= LINK_BITS)]
         live = i[at[i] != at[i + step]]
