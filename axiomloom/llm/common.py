@@ -80,3 +80,22 @@ def dealt(keyed: DataFrame, key: str, item, tile_rows: int) -> DataFrame:
     rows = rows.withColumn("side", side).withColumn("other", other)
     cell = F.when(F.col("tiles").isNull(), F.col(key)).otherwise(F.xxhash64(key, F.least("side", "other"), F.greatest("side", "other")))
     return rows.withColumn("cell", cell).withColumn("whole", F.col("side") == F.col("other")).drop("tiles", "other")
+
+
+def finite_vector(vector):
+    """Column: whether ``vector`` is there and all its components are numbers, neither null nor infinite; never null."""
+    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return vector.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def list_matrix(column) -> np.ndarray:
+    """``[row, component]``: an Arrow column of lists of one length, without nulls."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(flat), len(values) // len(flat) if len(flat) else 0)
+
+
+def array_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, values)``: the arrays ``values`` of each key added up place by place."""
+    each = parts.select(*keys, F.posexplode("values").alias("place", "value")).groupBy(*keys, "place").agg(F.sum("value").alias("value"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("values"))

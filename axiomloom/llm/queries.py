@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, quality, secret_scan, simhash, sketch, suffix_dedup, vector_dedup
+from . import bpe, codebooks, langid, mixing, pii, quality, secret_scan, simhash, sketch, suffix_dedup, topk, vector_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_byte_bpe, op4_simhash_near_dedup, op5_personal_data, op6_language_id, op7_document_fingerprints, op8_ordinal_quality, op9_secret_scan, op10_embedding_near_dedup)}
+def op11_exact_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.coded(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", F.col("label_error").cast("long").alias("label_error"), "codebooks_sha256")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    component = (F.col("place") + 1).cast("int")
+    return each.select("vec_id", component.alias("component"), "n", F.col("deviation").cast("long").alias("deviation"), "whitened", F.element_at("explained", component).alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_byte_bpe, op4_simhash_near_dedup, op5_personal_data, op6_language_id, op7_document_fingerprints, op8_ordinal_quality, op9_secret_scan, op10_embedding_near_dedup, op11_exact_top_products, op12_vector_codes, op13_embedding_whitening)}
 #: The contracts that DuckDB can state. Of the others, hashes (XXH64), tokenising and trained models have no SQL; tests/llm holds them against brute force.
 ORACLE_SQL = {
     "op2_source_mixing": """
@@ -113,4 +130,25 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.lab
 c AS (SELECT a AS s, b AS t FROM l UNION SELECT c.s, l.b FROM c JOIN l ON c.t = l.a)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(t) FROM c WHERE c.s = v.vec_id), v.vec_id)) AS component_id,
  v.vec_id = least(v.vec_id, coalesce((SELECT min(t) FROM c WHERE c.s = v.vec_id), v.vec_id)) AS kept FROM v""",
+    "op11_exact_top_products": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.r <> v.r AND len(q.x) = len(v.x) WHERE q.vec_id % 50 = 0),
+t AS (SELECT *, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST))::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5""",
+    "op12_vector_codes": """
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, vec_id, label, x FROM (SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+p AS (SELECT r, k, x[k * len(x) // 16 + 1:(k + 1) * len(x) // 16] AS y FROM v, range(16) t(k)),
+c0 AS (SELECT k, r - 1 AS e, y::BIGINT[] AS c FROM p WHERE r <= 64),
+a1 AS (SELECT r, k, min(d * 64 + e)::BIGINT % 64 AS e, min(d * 64 + e)::BIGINT // 64 AS d FROM (SELECT r, p.k, e, list_inner_product(y, y) - 2 * list_inner_product(y, c::DOUBLE[]) + list_inner_product(c::DOUBLE[], c::DOUBLE[]) AS d FROM p JOIN c0 c ON p.k = c.k) GROUP BY r, k),
+c1 AS (SELECT k, e, list(c ORDER BY j) AS c FROM (SELECT k, e, j, (s - ((s % n) + n) % n) // n AS c FROM (SELECT a.k, a.e, j, sum(y[j]::BIGINT)::BIGINT AS s, count(*) AS n FROM a1 a JOIN p ON a.r = p.r AND a.k = p.k, range(1, len(y) + 1) t(j) GROUP BY ALL)) GROUP BY k, e
+ UNION ALL SELECT k, e, c FROM c0 b WHERE NOT EXISTS (SELECT 1 FROM a1 a WHERE a.k = b.k AND a.e = b.e)),
+a2 AS (SELECT r, k, min(d * 64 + e)::BIGINT % 64 AS e, min(d * 64 + e)::BIGINT // 64 AS d FROM (SELECT r, p.k, e, list_inner_product(y, y) - 2 * list_inner_product(y, c::DOUBLE[]) + list_inner_product(c::DOUBLE[], c::DOUBLE[]) AS d FROM p JOIN c1 c ON p.k = c.k) GROUP BY r, k),
+c2 AS (SELECT k, e, list(c ORDER BY j) AS c FROM (SELECT k, e, j, (s - ((s % n) + n) % n) // n AS c FROM (SELECT a.k, a.e, j, sum(y[j]::BIGINT)::BIGINT AS s, count(*) AS n FROM a2 a JOIN p ON a.r = p.r AND a.k = p.k, range(1, len(y) + 1) t(j) GROUP BY ALL)) GROUP BY k, e
+ UNION ALL SELECT k, e, c FROM c1 b WHERE NOT EXISTS (SELECT 1 FROM a2 a WHERE a.k = b.k AND a.e = b.e)),
+a3 AS (SELECT r, k, min(d * 64 + e)::BIGINT % 64 AS e, min(d * 64 + e)::BIGINT // 64 AS d FROM (SELECT r, p.k, e, list_inner_product(y, y) - 2 * list_inner_product(y, c::DOUBLE[]) + list_inner_product(c::DOUBLE[], c::DOUBLE[]) AS d FROM p JOIN c2 c ON p.k = c.k) GROUP BY r, k),
+f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+ (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) FROM c2) AS codebooks_sha256 FROM v JOIN f ON v.r = f.r""",
 }
