@@ -95,7 +95,27 @@ def list_matrix(column) -> np.ndarray:
     return values.reshape(len(flat), len(values) // len(flat) if len(flat) else 0)
 
 
+def _add_batches(keys: int, kind):
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(keys)), strict=True))
+            for name, values in zip(names, batch.column(keys), strict=True):
+                own = values.values.to_numpy(zero_copy_only=False)
+                held[name] = held[name] + own if name in held else own.copy()
+        if held:
+            columns = [pa.array([name[k] for name in held], pa.int64()) for k in range(keys)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.list_(kind))], names=[*(f"k{k}" for k in range(keys)), "values"])
+
+    return run
+
+
 def array_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``(*keys, values)``: the arrays ``values`` of each key added up place by place."""
-    each = parts.select(*keys, F.posexplode("values").alias("place", "value")).groupBy(*keys, "place").agg(F.sum("value").alias("value"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("values"))
+    """``(*keys, values)``: the arrays ``values`` (of longs or doubles, one length for each key) of each key added up place by place; ``keys`` are longs.
+
+    A task holds one array for each of its keys, however many rows it adds.
+    """
+    kind = pa.int64() if parts.schema["values"].dataType.simpleString() == "array<bigint>" else pa.float64()
+    rows = parts.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "values").repartition(*[F.col(f"k{i}") for i in range(len(keys))])
+    schema = ", ".join([*(f"k{i} long" for i in range(len(keys))), f"values {parts.schema['values'].dataType.simpleString()}"])
+    return rows.mapInArrow(_add_batches(len(keys), kind), schema).toDF(*keys, "values")
