@@ -252,7 +252,7 @@ def inferred_inverse_properties(spark, sf_dir):
     return _reasoner(spark, parts).infer({"inverse object properties"}).select("a1", "a2")
 
 
-@query("""SELECT 'customer/' || c_custkey AS a1, p AS a2, c_acctbal::BIGINT::VARCHAR AS a3 FROM customer, (VALUES ('balance'), ('amount'), ('figure')) v(p)""")
+@query("""SELECT 'customer/' || c_custkey AS a1, p AS a2, round(c_acctbal)::BIGINT::VARCHAR AS a3 FROM customer, (VALUES ('balance'), ('amount'), ('figure')) v(p)""")
 def inferred_data_values(spark, sf_dir):
     """Values of data properties, by their superior and equivalent properties too."""
     t = Tables(spark, sf_dir)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.checkpoints import settled
+from .components import strong
 
 MAX_ROUNDS, COMPACT = 10_000, 16
 
@@ -78,36 +79,50 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, include_start: boo
 
 def mutual(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for nodes on cycles: root is the least of all nodes that reach the node and are reached by it."""
-    reach = closure(edges).select("start", "node")
-    back = reach.select(F.col("start").alias("node"), F.col("node").alias("start"))
-    return reach.join(back, ["start", "node"]).groupBy("start").agg(F.min("node").alias("root")).select(F.col("start").alias("node"), "root")
+    return strong(edges)
 
 
 def equivalent_pairs(edges: DataFrame) -> DataFrame:
     """``(a, b)``, ``a <> b``: nodes that reach each other."""
-    reach = closure(edges).select("start", "node")
-    back = reach.select(F.col("start").alias("node"), F.col("node").alias("start"))
-    return reach.join(back, ["start", "node"]).where("start <> node").select(F.col("start").alias("a"), F.col("node").alias("b"))
+    return _companions(strong(edges)).toDF("a", "b")
 
 
-def direct(edges: DataFrame) -> DataFrame:
+def _companions(roots: DataFrame) -> DataFrame:
+    """``(node, other)``, ``node <> other``: nodes of one root."""
+    return roots.join(roots.toDF("other", "root"), "root").where("node <> other").select("node", "other")
+
+
+def condensed(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``edges`` between the ``roots(node, root)`` of their ends, a node without one standing for itself; no loops."""
+    at = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    led = edges.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    return led.select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst")).where("src <> dst").distinct()
+
+
+def direct(edges: DataFrame, closed: bool = False) -> DataFrame:
     """``(src, dst)`` of the transitive reduction: strict superiors with no other strict superior between.
 
-    Nodes that reach each other are equivalent: each stands for all in every pair, and is
-    no superior of another.
+    Nodes that reach each other are equivalent: one stands for all while superiors are
+    compared, and each for all in the result, where none is a superior of another. With
+    ``closed``, ``edges`` are transitively closed already, as a reasoner's are.
     """
-    reach = settled(closure(edges).select("start", "node"))
-    back = reach.select(F.col("start").alias("node"), F.col("node").alias("start"))
-    strict = settled(reach.join(back, ["start", "node"], "left_anti"))
-    same = settled(reach.join(back, ["start", "node"], "left_semi").where("start <> node"))
-    # a direct superior is the end of a told edge from the node or one of its equals, or an equal of that end
-    told = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    told = told.unionByName(told.join(same.toDF("eq", "src"), "src").select(F.col("eq").alias("src"), "dst"))
-    told = told.unionByName(told.join(same.toDF("dst", "eq"), "dst").select("src", F.col("eq").alias("dst"))).distinct()
-    told = settled(told.join(strict.toDF("src", "dst"), ["src", "dst"], "left_semi"))
+    told = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if closed:
+        both = told.where("src <> dst")
+        both = both.join(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+        roots = settled(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("root")))
+    else:
+        roots = strong(told)
+    between = settled(condensed(told, roots))
+    strict = between if closed else settled(closure(between).select(F.col("start").alias("src"), F.col("node").alias("dst")))
     # one with another told superior below it isn't direct
-    over = told.select("src", F.col("dst").alias("mid")).join(strict.toDF("mid", "dst"), "mid").select("src", "dst")
-    return told.join(over, ["src", "dst"], "left_anti")
+    over = between.select("src", F.col("dst").alias("mid")).join(strict.toDF("mid", "dst"), "mid").select("src", "dst")
+    own = between.join(over, ["src", "dst"], "left_anti")
+    if roots.isEmpty():
+        return own
+    members = lambda end: roots.select(F.col("root").alias(end), F.col("node").alias(f"{end}_node"))
+    spread = own.join(members("src"), "src", "left").join(members("dst"), "dst", "left")
+    return spread.select(F.coalesce("src_node", "src").alias("src"), F.coalesce("dst_node", "dst").alias("dst"))
 
 
 def redundant(told: DataFrame) -> DataFrame:

@@ -75,17 +75,12 @@ def transitive_values(assertions: DataFrame, transitive: DataFrame) -> DataFrame
 
 def property_values(assertions: DataFrame, told: DataFrame, inverses: DataFrame, symmetric: DataFrame, transitive: DataFrame) -> DataFrame:
     """``(subject, prop, object)`` closed under super-properties, inverses, symmetry and transitivity, given ones included."""
-    from ..plans.checkpoints import settled
-
-    known = settled(assertions.select("subject", "prop", "object").distinct())
-    while True:
-        rows = subproperty_values(known, told)
-        turned = inverse_assertions(rows.withColumn("negative", F.lit(False)), inverses, symmetric).drop("negative")
-        rows = rows.union(turned).union(transitive_values(rows, transitive)).distinct()
-        new = settled(rows.join(known, ["subject", "prop", "object"], "left_anti"))
-        if new.isEmpty():
-            return known
-        known = settled(known.union(new))
+    from . import rules
+
+    facts = assertions.select("subject", "prop", "object")
+    moved = rules.moves(told, inverses, symmetric, facts.select("prop").union(transitive.select("prop")))
+    nothing = transitive.select(F.array("prop").alias("steps"), F.col("prop").alias("sup"))  # a chain of one step is none
+    return rules.Facts(moved, rules.compositions(transitive.select("prop").distinct(), nothing)).add(facts)
 
 
 def recognised(types: DataFrame, assertions: DataFrame, definitions: DataFrame) -> DataFrame:

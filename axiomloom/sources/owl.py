@@ -30,8 +30,8 @@ def axiom_id(row: dict) -> str:
 
 
 def axiom(axiom_type: str, a1=None, a2=None, a3=None, operands=None, datatype=None, lang=None, negative=False, ax_annotations=None, inferred=False, ontology_iri=None) -> dict:
-    """A row of the axiom table. Operands are sorted, as their order has no meaning."""
-    row = {"ontology_iri": ontology_iri, "axiom_type": axiom_type, "negative": negative, "a1": a1, "a2": a2, "a3": a3, "operands": sorted(set(operands)) if operands else None, "datatype": datatype or None, "lang": lang or None, "ax_annotations": sorted(ax_annotations) if ax_annotations else None, "inferred": inferred}
+    """A row of the axiom table. Operands are sorted, as their order has no meaning but in a chain."""
+    row = {"ontology_iri": ontology_iri, "axiom_type": axiom_type, "negative": negative, "a1": a1, "a2": a2, "a3": a3, "operands": (list(operands) if axiom_type == "SubPropertyChainOf" else sorted(set(operands))) if operands else None, "datatype": datatype or None, "lang": lang or None, "ax_annotations": sorted(ax_annotations) if ax_annotations else None, "inferred": inferred}
     return row | {"axiom_id": axiom_id(row)}
 
 
@@ -201,6 +201,10 @@ def from_triples(triples, prefixes=None) -> Document:
                     add("SameIndividual", s, p, o, operands=[s, o])
                 elif p == OWL + "differentFrom":
                     add("DifferentIndividuals", s, p, o, operands=[s, o])
+                elif p == OWL + "propertyChainAxiom":
+                    add("SubPropertyChainOf", s, p, o, s, operands=[prop_name(i[0]) for i in listed(o)])
+                elif p == OWL + "hasKey":
+                    add("HasKey", s, p, o, expr(s), operands=[prop_name(i[0]) for i in listed(o)])
                 elif p == OWL + "inverseOf" and named:
                     add("InverseObjectProperties", s, p, o, s, o)
                 elif p == RDFS + "domain":
@@ -348,6 +352,10 @@ def to_triples(doc: Document) -> list[tuple]:
                 iri(parts[0], many[kind], x)
                 annotated(row, parts[0], many[kind], (x, "blank" if x.startswith("_:") else "iri", "", ""))
             continue
+        elif kind in ("SubPropertyChainOf", "HasKey"):
+            steps = [prop(x) for x in row["operands"]]
+            head = chain([(x, "blank" if x.startswith("_:") else "iri", "", "") for x in steps])
+            t = (prop(a1) if kind == "SubPropertyChainOf" else expr(a1), OWL + ("propertyChainAxiom" if kind == "SubPropertyChainOf" else "hasKey"), head, "blank", "", "")
         elif row["negative"]:
             b = blank()
             iri(b, RDF + "type", OWL + "NegativePropertyAssertion")
