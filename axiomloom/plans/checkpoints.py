@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,28 @@ def _remove() -> None:
             pass
 
 
+def keep_until_exit(spark: SparkSession) -> None:
+    """Makes sure that there is a checkpoint folder, and that this process's part of it goes when the process ends."""
+    checkpoint_folder(spark)
+    own_folder(spark)
+    at = spark.sparkContext.getCheckpointDir()  # a folder of this application's own
+    if at:
+        _used[at] = spark
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Inside, checkpoints go to a folder that is deleted at the end; what is read from them must be written by then."""
+    before, folder = spark.sparkContext.getCheckpointDir(), f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(folder)
+    try:
+        yield
+    finally:
+        # Spark adds a folder of its own to the one that it is told
+        spark.sparkContext.setCheckpointDir(before.rpartition("/")[0] if before else checkpoint_folder(spark))
+        remove_folder(spark, folder)
+
+
 def own_folder(spark: SparkSession) -> str:
     """This process's folder beside the checkpoints; it goes when the process ends."""
     own = f"{checkpoint_folder(spark)}/{_OWN}"
