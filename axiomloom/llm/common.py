@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import checkpoint_folder
+from ..plans.checkpoints import keep_until_exit
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, so that its lineage ends there."""
-    checkpoint_folder(df.sparkSession)
+    """``df`` written to the checkpoint folder and read back, so that its lineage ends there. What is left of it goes with the process, or with :func:`scratch`."""
+    keep_until_exit(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -29,11 +29,11 @@ def pieces(total: float, each: float, spark: SparkSession) -> int:
     return max(2 * shuffle_width(spark), math.ceil(total / each))
 
 
-def by_cells(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """``df`` dealt by ``cell`` and sorted by it in each partition; of about ``each`` rows, but in the session's width at least, which adaptive execution may coalesce."""
+def by_cells(df: DataFrame, rows: int, each: int, *then: str) -> DataFrame:
+    """``df`` dealt by ``cell`` and sorted by it and ``then`` in each partition; of about ``each`` rows, but in the session's width at least, which adaptive execution may coalesce."""
     width = math.ceil(rows / each)
     dealt_out = df.repartition(width, "cell") if width > shuffle_width(df.sparkSession) else df.repartition("cell")
-    return dealt_out.sortWithinPartitions("cell")
+    return dealt_out.sortWithinPartitions("cell", *then)
 
 
 def whole_cells(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
@@ -65,15 +65,16 @@ def words(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def dealt(keyed: DataFrame, key: str, item, tile_rows: int) -> DataFrame:
+def dealt(keyed: DataFrame, key: str, item, tile_rows: int, weight=None) -> DataFrame:
     """``keyed`` with ``cell``, ``side`` and ``whole``: rows that share a ``key`` meet in a cell, large keys as pairs of tiles.
 
-    A key of at most ``tile_rows`` rows is one cell (``whole``). A larger one is dealt by a
+    A key of at most ``tile_rows`` rows, or of that ``weight`` in all, is one cell (``whole``). A larger one is dealt by a
     hash of ``item`` to tiles of about that size (``side``), and each pair of tiles is a cell,
     so every two rows of a key meet in exactly one cell in which their sides differ, or in
     the one of their own tile (``whole``).
     """
-    large = cut(keyed.groupBy(key).count().where(F.col("count") > tile_rows).select(key, F.ceil(F.col("count") / tile_rows).alias("tiles")))
+    large = keyed.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("count")).where(F.col("count") > tile_rows)
+    large = cut(large.select(key, F.ceil(F.col("count") / tile_rows).alias("tiles")))
     rows = keyed.join(small(large), key, "left")
     side = F.coalesce(F.pmod(F.xxhash64(item, F.lit(7)), F.col("tiles")), F.lit(0).cast("long"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("tiles"), F.lit(1).cast("long")) - 1))
