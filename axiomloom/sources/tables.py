@@ -137,12 +137,16 @@ def read_odf_tables(path: str) -> list[Table]:
 
     def cells(row) -> list[str]:
         out: list[str] = []
+        empty = 0  # cells that only count once another one follows: the last run is padding to the sheet's edge
         for c in row:
             if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
                 text = "\n".join("".join(p.itertext()) for p in c.findall(f"{_TEXT}p"))
                 times = int(c.get(f"{_TABLE}number-columns-repeated", 1))
-                # a long run of empty cells is only padding to the sheet's edge
-                out += [text] * (times if text else min(times, 1024))
+                if text:
+                    out += [""] * empty + [text] * times
+                    empty = 0
+                else:
+                    empty += times
         return out
 
     def rows(table):
@@ -273,6 +277,8 @@ def read_xlsx_tables(path: str) -> list[Table]:
         kind, v = c.get("t", "n"), c.find(f"{_SHEET}v")
         if kind == "inlineStr":
             return "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+        if v is None and c.find(f"{_SHEET}f") is not None:
+            raise TableError(f"Cell {c.get('r')} of sheet {name!r} in {path} holds a formula without a stored value.")
         text = "" if v is None else v.text or ""
         if kind == "e":
             raise TableError(f"Cell {c.get('r')} of sheet {name!r} in {path} holds the error {text}.")

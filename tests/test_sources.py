@@ -173,3 +173,33 @@ def test_sheets_with_gaps(tmp_path):
         for n, d in parts.items():
             z.writestr(n, d)
     assert [(r.number, r["a"]) for r in tables.read_tables(str(path))[0]] == [(2, "first"), (5000, "last")]
+
+
+def test_cells_after_wide_gaps(tmp_path):
+    """Empty cells before a filled one keep it in its column, however many there are."""
+    columns = [f"c{k}" for k in range(1500)]
+    cell = lambda text, times=1: f'<table:table-cell table:number-columns-repeated="{times}">' + (f"<text:p>{text}</text:p>" if text else "") + "</table:table-cell>"
+    rows = ["".join(cell(c) for c in columns), cell("", 1400) + cell("far") + cell("", 14_000), cell("near") + cell("", 16_000)]
+    path = tmp_path / "wide.fods"
+    path.write_text('<office:document xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><table:table table:name="t">' + "".join(f"<table:table-row>{r}</table:table-row>" for r in rows) + "</table:table></office:document>")
+    (table,) = tables.read_odf_tables(str(path))
+    assert [(n, [(k, v) for k, v in enumerate(values) if v]) for n, values in table.rows] == [(2, [(1400, "far")]), (3, [(0, "near")])]
+
+
+def test_formula_without_a_value(tmp_path):
+    import io
+    import zipfile
+
+    from axiomloom.catalogue_sources import _xlsx
+
+    data, out = _xlsx({"s": [[("text", "A", 0)], [("text", "first", 0)]]}, []), io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            content = old.read(name)
+            if "sheet" in name and b"<sheetData>" in content:
+                content = content.replace(b"</sheetData>", b'<row r="3"><c r="A3"><f>1+1</f></c></row></sheetData>')
+            new.writestr(name, content)
+    path = tmp_path / "formula.xlsx"
+    path.write_bytes(out.getvalue())
+    with pytest.raises(tables.TableError, match="formula"):
+        tables.read_xlsx_tables(str(path))
