@@ -21,6 +21,8 @@ KIND_OF = {
 TYPE_OF = {v: k for k, v in KIND_OF.items()}
 FEATURES = ("Functional", "InverseFunctional", "Reflexive", "Irreflexive", "Symmetric", "Asymmetric", "Transitive")
 _LITERAL = "\x1f"
+#: Annotation properties of the language's own namespace; fixed values.
+OWL_ANNOTATIONS = tuple(OWL + x for x in ("backwardCompatibleWith", "deprecated", "incompatibleWith", "priorVersion", "versionInfo"))
 
 
 def axiom_id(row: dict) -> str:
@@ -213,13 +215,13 @@ def from_triples(triples, prefixes=None) -> Document:
                 elif p == RDFS + "range":
                     k = property_kind(s)
                     add({OBJECT_PROPERTY: "ObjectPropertyRange", DATA_PROPERTY: "DataPropertyRange"}.get(k, "AnnotationPropertyRange"), s, p, o, s, expr(o))
-                elif not named or p.startswith((OWL, RDF)):
+                elif not named or p.startswith((OWL, RDF)) and p not in OWL_ANNOTATIONS:
                     continue
                 elif property_kind(p) == OBJECT_PROPERTY:
                     add("ObjectPropertyAssertion", s, p, o, s, p, o)
                 elif property_kind(p) == DATA_PROPERTY:
                     add("DataPropertyAssertion", s, p, o, s, p, o, datatype=dt, lang=lang)
-                elif p.startswith(RDFS) or property_kind(p) == ANNOTATION_PROPERTY or kind != "literal" or property_kind(p) is None:
+                elif p.startswith((RDFS, OWL)) or property_kind(p) == ANNOTATION_PROPERTY or kind != "literal" or property_kind(p) is None:
                     add("AnnotationAssertion", s, p, o, s, p, o, datatype=dt if kind == "literal" else "@iri", lang=lang)
     for row in doc.axioms.values():
         row["ontology_iri"] = doc.iri
