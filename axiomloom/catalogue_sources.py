@@ -18,7 +18,7 @@ from .operators import documents
 from .plans.builder import Builder, ignored
 from .plans.checkpoints import own_folder
 from .schema import LABEL, OBO_BASE
-from .sources import rdf, tables
+from .sources import rdf, stanzas, tables
 
 
 def _shared(spark: SparkSession) -> str:
@@ -194,3 +194,33 @@ def manchester_expressions(spark, sf_dir):
         _, parts = manchester.flatten(manchester.parse_class(f"place and (near some N{r['n_regionkey']}) and has min 2 city and not N{r['n_nationkey']}"))
         rows += [(r["n_nationkey"], p["op"], p["prop"] or "", p["filler"] or "") for p in parts]
     return spark.createDataFrame(rows, "n_nationkey int, op string, prop string, filler string")
+
+
+def _joined(axioms: DataFrame, expressions: DataFrame) -> DataFrame:
+    """Axioms with the parts of the restriction that they end in."""
+    parts = expressions.select(F.col("expr_id").alias("a2"), "prop", "filler")
+    return axioms.join(parts, "a2", "left").select("axiom_type", "a1", F.when(F.startswith("a2", F.lit("_:")), F.lit("")).otherwise(F.col("a2")).alias("a2"), F.coalesce("a3", F.lit("")).alias("a3"), F.coalesce("prop", F.lit("")).alias("prop"), F.coalesce("filler", F.lit("")).alias("filler"))
+
+
+@query(f"""WITH s AS (SELECT '{OBO_BASE}SUP_' || s_suppkey AS i, * FROM supplier)
+SELECT 'Declaration' AS axiom_type, i AS a1, 'class' AS a2, '' AS a3, '' AS prop, '' AS filler FROM s UNION ALL SELECT 'AnnotationAssertion', i, '{LABEL}', s_name || ' "x" ! y', '', '' FROM s
+UNION ALL SELECT 'SubClassOf', i, '{OBO_BASE}NAT_' || s_nationkey, '', '', '' FROM s UNION ALL SELECT 'SubClassOf', i, '', '', '{OBO_BASE}unnamed#within', '{OBO_BASE}NAT_' || s_nationkey FROM s WHERE s_suppkey % 2 = 0""")
+def obo_scan(spark, sf_dir):
+    """Stanzas of OBO documents, with escapes, comments and qualifiers."""
+    s, at = Tables(spark, sf_dir).supplier, _shared(spark)
+    nation = F.concat(F.lit("NAT:"), F.col("s_nationkey").cast("string"))
+    lines = F.array(F.lit("[Term]"), F.concat(F.lit("id: SUP:"), F.col("s_suppkey").cast("string")), F.concat(F.lit("name: "), "s_name", F.lit(' "x" \\! y ! a remark')), F.concat(F.lit("is_a: "), nation, F.lit(' {source="a ! b"} ! a nation')), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("relationship: within "), nation)).otherwise(F.lit("! nothing")), F.lit(""))
+    s.repartition(4).select(F.array_join(lines, "\n").alias("value")).write.text(at)
+    return _joined(*stanzas.read_obo(spark, at))
+
+
+@query("""SELECT 'SubClassOf' AS axiom_type, 'http://x/s' || s_suppkey AS a1, '' AS a2, '' AS a3, 'http://x/in' AS prop, 'http://x/n' || s_nationkey AS filler FROM supplier
+UNION ALL SELECT 'ClassAssertion', 'http://x/n' || n_nationkey, 'http://x/Nation', '', '', '' FROM nation UNION ALL SELECT 'AnnotationAssertion', 'http://x/s' || s_suppkey, 'http://www.w3.org/2000/01/rdf-schema#label', s_name || ' ("x")', '', '' FROM supplier""")
+def functional_scan(spark, sf_dir):
+    """Lines of functional syntax, with brackets and quotes in literals."""
+    t, at = Tables(spark, sf_dir), _shared(spark)
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    lines = t.supplier.select(F.explode(F.array(F.concat(F.lit("SubClassOf(<http://x/s"), key, F.lit("> ObjectSomeValuesFrom(<http://x/in> <http://x/n"), nation, F.lit(">))")), F.concat(F.lit("  AnnotationAssertion(rdfs:label <http://x/s"), key, F.lit('> "'), "s_name", F.lit(' (\\"x\\")")')))).alias("value"))
+    lines = lines.union(t.nation.select(F.concat(F.lit("ClassAssertion(<http://x/Nation> <http://x/n"), F.col("n_nationkey").cast("string"), F.lit(">)"))))
+    lines.repartition(4).write.text(at)
+    return _joined(*stanzas.read_functional(spark, at))
