@@ -118,7 +118,7 @@ class _Round:
         ops = lambda c, f, name: F.coalesce(f(F.when(F.col("slot") == "op", c)), F.lit(True) if f is F.bool_and else F.lit(0)).alias(name)
         said = rows.groupBy("axiom_id").agg(
             *[at(s, c) for s in ("a1", "a2") for c in ("empty", "full", "out")], ops(F.col("empty"), F.bool_and, "all_empty"), ops(F.col("full"), F.bool_and, "all_full"), ops(F.col("out"), F.bool_and, "all_out"),
-            ops((~F.col("empty")).cast("int"), F.sum, "not_empty"), ops((~F.col("out")).cast("int"), F.sum, "not_out"),
+            F.coalesce(F.bool_or(F.when(F.col("slot") == "op", F.col("out"))), F.lit(False)).alias("any_out"), ops((~F.col("empty")).cast("int"), F.sum, "not_empty"), ops((~F.col("out")).cast("int"), F.sum, "not_out"),
         )
         kind, top, c = F.col("axiom_type"), F.lit(self.top), F.col
         feature = F.endswith(kind, F.lit("ObjectProperty")) | F.endswith(kind, F.lit("DataProperty"))
@@ -127,6 +127,7 @@ class _Round:
             F.when(kind == "SubClassOf", c("a1_empty") | c("a2_full")).when(kind == "EquivalentClasses", c("all_empty") | c("all_full")).when(kind == "DisjointClasses", c("not_empty") <= 1)
             .when(kind.isin("SubObjectPropertyOf", "SubDataPropertyOf"), F.when(top, c("a2_out")).otherwise(c("a1_out"))).when(kind.isin("EquivalentObjectProperties", "EquivalentDataProperties"), c("all_out"))
             .when(kind.isin("DisjointObjectProperties", "DisjointDataProperties"), ~top & (c("not_out") <= 1)).when(kind == "InverseObjectProperties", c("a1_out") & c("a2_out"))
+            .when(kind == "SubPropertyChainOf", F.when(top, c("a1_out")).otherwise(c("any_out"))).when(kind == "HasKey", ~top & c("a1_empty"))
             .when(bound, c("a2_full") | ~top & c("a1_out")).when(kind == "ClassAssertion", c("a2_full"))
             .when(kind.isin("ObjectPropertyAssertion", "DataPropertyAssertion"), c("a2_out") & (top != F.coalesce("negative", F.lit(False))))
             .when(feature & F.startswith(kind, F.lit("Reflexive")), top & c("a1_out")).when(feature, c("a1_out") & (~top | F.startswith(kind, F.lit("Symmetric")) | F.startswith(kind, F.lit("Transitive")))).otherwise(F.lit(True))

@@ -1,4 +1,4 @@
-"""Locality modules of one document that is held in memory anyway; :mod:`locality` does the same over tables of any size.
+"""Locality modules of one document, row by row: what the joins of the library are held against.
 
 An axiom is local for a signature if it says nothing about it once all other names are
 empty (bottom) or everything (top). A module is what is left after taking in, until
@@ -91,6 +91,10 @@ class _Locality:
             return all(map(self.role_out, row["operands"]))
         if kind in ("DisjointObjectProperties", "DisjointDataProperties"):
             return not self.top and sum(not self.role_out(x) for x in row["operands"]) <= 1
+        if kind == "SubPropertyChainOf":
+            return self.role_out(a1) if self.top else any(map(self.role_out, row["operands"]))
+        if kind == "HasKey":
+            return not self.top and self.empty(a1)
         if kind == "InverseObjectProperties":
             return self.role_out(a1) and self.role_out(a2)
         if kind.endswith(("PropertyDomain", "PropertyRange")) and kind[0] in "OD":

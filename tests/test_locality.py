@@ -1,11 +1,17 @@
 """Distributed locality modules against the plain ones, over random axioms and nested expressions."""
 
+import os
+import sys
+
 import numpy as np
 import pytest
 
-from axiomloom.operators import document_locality, locality
-from axiomloom.schema import AXIOM, EXPRESSION
-from axiomloom.sources import owl
+sys.path.insert(0, os.path.dirname(__file__))
+import plain_locality  # noqa: E402
+
+from axiomloom.operators import locality  # noqa: E402
+from axiomloom.schema import AXIOM, EXPRESSION  # noqa: E402
+from axiomloom.sources import owl  # noqa: E402
 
 THING, NOTHING = "http://www.w3.org/2002/07/owl#Thing", "http://www.w3.org/2002/07/owl#Nothing"
 
@@ -42,7 +48,7 @@ def world(seed):
         doc.add("Declaration", c, "class")
         doc.add("AnnotationAssertion", c, "label", f"label of {c}")
     for _ in range(22):
-        kind = pick(["SubClassOf"] * 5 + ["EquivalentClasses", "DisjointClasses", "SubObjectPropertyOf", "EquivalentObjectProperties", "DisjointObjectProperties", "InverseObjectProperties", "ObjectPropertyDomain", "ObjectPropertyRange", "ClassAssertion", "ObjectPropertyAssertion", "SymmetricObjectProperty", "FunctionalObjectProperty", "ReflexiveObjectProperty"])
+        kind = pick(["SubClassOf"] * 5 + ["EquivalentClasses", "DisjointClasses", "SubObjectPropertyOf", "EquivalentObjectProperties", "DisjointObjectProperties", "InverseObjectProperties", "ObjectPropertyDomain", "ObjectPropertyRange", "ClassAssertion", "ObjectPropertyAssertion", "SymmetricObjectProperty", "FunctionalObjectProperty", "ReflexiveObjectProperty", "SubPropertyChainOf", "HasKey"])
         if kind in ("EquivalentClasses", "DisjointClasses"):
             doc.add(kind, operands=[cls(), cls(), cls()])
         elif kind.startswith(("EquivalentO", "DisjointO")):
@@ -57,6 +63,8 @@ def world(seed):
             doc.add(kind, pick(props), cls())
         elif kind == "ClassAssertion":
             doc.add(kind, pick(inds), cls())
+        elif kind in ("SubPropertyChainOf", "HasKey"):
+            doc.add(kind, pick(props) if kind[0] == "S" else cls(), operands=[pick(props), pick(props)])
         else:
             doc.add(kind, pick(props))
     return doc, [pick(classes), pick([*classes, *props])]
@@ -68,7 +76,7 @@ def test_star(spark, seed):
     axioms, expressions = owl.frames(spark, doc)
     got = {r.axiom_id for r in locality.star_module(axioms, expressions, spark.createDataFrame([(s,) for s in seeds], "iri string")).select("axiom_id").collect()}
     rows, known = [dict(r) for r in doc.axioms.values()], doc.expressions
-    assert got == document_locality.star_module(rows, known, set(seeds))
+    assert got == plain_locality.star_module(rows, known, set(seeds))
 
 
 def test_star_empty(spark):
