@@ -159,7 +159,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = found.withColumn("__base", base).withColumn("__judged", judged)
     found = found.withColumn("__open", _judged(clear_of(F.col("__wide"), F.col("__base")), _wide_kind))
     names = [c for c in rows.columns if c != "__text"]
-    found = cut(found.select(*names, "__base", "__judged", "__open"))
+    found = found.select(*names, "__base", "__judged", "__open")
+    # spans are written and read again; beside columns to keep, whose size is that of the texts, they are found again instead
+    found = found if keep else cut(found)
     seen = found.select(F.explode(F.concat("__judged", "__open")).alias("s")).groupBy("s.kind", "s.votes", "s.traits").count().collect()  # bounded, see above
     counts = sorted((tuple(r["votes"]), r["kind"], tuple(r["traits"]), float(r["count"])) for r in seen)
     by_votes: dict[tuple[int, ...], float] = {}
