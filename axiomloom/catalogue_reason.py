@@ -132,3 +132,41 @@ def key_types(spark, sf_dir):
     parts += [_once(spark, "Declaration", x, "class") for x in ("Party", "Customer", "Lead")]
     parts += [_row(c, "DataPropertyAssertion", one, "name", F.col("c_name")), _row(c, "DataPropertyAssertion", other, "name", name), _row(c, "ObjectPropertyAssertion", one, "lives in", nation), _row(c, "ObjectPropertyAssertion", other, "lives in", nation), _once(spark, "HasKey", "Party", operands=F.array(F.lit("name"), F.lit("lives in")))]
     return _reasoner(spark, parts).types()
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 'supplier/' || s_suppkey AS c, s_nationkey AS n FROM supplier)
+SELECT c AS src, 'side/' || n AS dst FROM s UNION SELECT c, 'Shipper' FROM s WHERE k % 4 < 2 UNION SELECT c, 'Local' FROM s WHERE k % 4 = 2 UNION SELECT c, 'Combined' FROM s WHERE k % 3 = 0
+UNION SELECT w || n_nationkey, 'side/' || n_nationkey FROM nation, (VALUES ('east/'), ('west/')) v(w) UNION SELECT 'Two', 'Many'""")
+def disjunctive_subclasses(spark, sf_dir):
+    """Superclasses that only cases of a union, an ``only``, a complement or a bound on values give."""
+    t, k = Tables(spark, sf_dir), F.col("s_suppkey")
+    s, me, nation = t.supplier, iri("supplier", "s_suppkey"), F.col("s_nationkey")
+    key, once = lambda name: F.lit(f"_:{name}"), spark.range(1)
+    either = named("_:either/", "s_nationkey")
+    parts = [_row(s, "Declaration", me, "class")]
+    parts += [_row(t.nation, "Declaration", named(w, "n_nationkey"), "class") for w in ("east/", "west/", "side/")] + [_row(t.nation, "SubClassOf", named(w, "n_nationkey"), named("side/", "n_nationkey")) for w in ("east/", "west/")]
+    parts += [_once(spark, "Declaration", c, "class") for c in ("Shipper", "Local", "Combined", "Two", "Many")]
+    # one of two sides, whichever
+    parts.append(_row(s, "SubClassOf", me, either))
+    expressions = [_expression(s, either, "or", operands=F.array(F.concat(F.lit("east/"), nation.cast("string")), F.concat(F.lit("west/"), nation.cast("string"))))]
+    # what has values, and only places, has a place; who has none is local
+    parts += [_row(s.where(k % 4 < 2), "SubClassOf", me, c) for c in ("_:ships", "_:only places")] + [_row(s.where(k % 4 == 2), "SubClassOf", me, "_:no places"), _once(spark, "SubClassOf", "_:to place", "Shipper"), _once(spark, "SubClassOf", "_:never", "Local")]
+    expressions += [_expression(once, key("ships"), "some", "ships to", "http://www.w3.org/2002/07/owl#Thing"), _expression(once, key("only places"), "only", "ships to", "Place"), _expression(once, key("to place"), "some", "ships to", "Place"), _expression(once, key("no places"), "only", "ships to", "_:no place"), _expression(once, key("no place"), "not", filler="Place"), _expression(once, key("never"), "not", filler="_:to place")]
+    # one value that is both; two that differ
+    parts += [_row(s.where(k % 3 == 0), "SubClassOf", me, c) for c in ("_:a", "_:b", "_:one")] + [_once(spark, "SubClassOf", "_:has both", "Combined"), _once(spark, "SubClassOf", "Two", "_:c"), _once(spark, "SubClassOf", "Two", "_:not c"), _once(spark, "SubClassOf", "_:two", "Many")]
+    expressions += [_expression(once, key(x), "some", "makes", x.upper()) for x in ("a", "b", "c")] + [_expression(once, key("one"), "max", "makes", card=1), _expression(once, key("both"), "and", operands=F.array(F.lit("A"), F.lit("B"))), _expression(once, key("has both"), "some", "makes", "_:both"), _expression(once, key("other"), "not", filler="C"), _expression(once, key("not c"), "some", "makes", "_:other"), _expression(once, key("two"), "min", "makes", card=2)]
+    return _reasoner(spark, parts, expressions).superclasses()
+
+
+@query("""SELECT 'nation/' || n_nationkey AS ind, 'Coast' AS cls FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 'nation/' || n_nationkey, 'Known' FROM nation
+UNION SELECT DISTINCT 'supplier/' || s_suppkey, 'Trusted' FROM supplier WHERE s_nationkey % 5 = 0 UNION SELECT DISTINCT 'nation/' || s_nationkey, 'Supplied' FROM supplier WHERE s_nationkey % 5 = 0""")
+def disjunctive_types(spark, sf_dir):
+    """Types of individuals by the case of a union that is left, by all cases of one, and over assertions by ``only``."""
+    t, n, once = Tables(spark, sf_dir), F.col("n_nationkey"), spark.range(1)
+    nation, supplier = iri("nation", "n_nationkey"), iri("supplier", "s_suppkey")
+    parts = [_row(t.nation, "Declaration", nation, "indiv"), _row(t.supplier, "Declaration", supplier, "indiv")] + [_once(spark, "Declaration", c, "class") for c in ("Coast", "Known", "Trusted", "Supplied")]
+    parts += [_row(t.nation, "ClassAssertion", nation, "_:either"), _once(spark, "SubClassOf", "Coast", "Known"), _once(spark, "SubClassOf", "Inland", "Known"), _row(t.nation.where(n % 3 == 0), "ClassAssertion", nation, "_:not inland")]
+    parts += [_row(t.nation.where(n % 5 == 0), "ClassAssertion", nation, "_:only trusted"), _row(t.supplier, "ObjectPropertyAssertion", named("nation/", "s_nationkey"), "home of", supplier), _once(spark, "SubClassOf", "_:has trusted", "Supplied")]
+    one = lambda name, *a, **kw: _expression(once, F.lit(f"_:{name}"), *a, **kw)
+    expressions = [one("either", "or", operands=F.array(F.lit("Coast"), F.lit("Inland"))), one("not inland", "not", filler="Inland"), one("only trusted", "only", "home of", "Trusted"), one("has trusted", "some", "home of", "Trusted")]
+    return _reasoner(spark, parts, expressions).types()
