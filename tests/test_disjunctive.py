@@ -74,7 +74,7 @@ def compare(spark, worlds):
     r = Reasoner(*owl.frames(spark, doc))
     assert r.ignored().count() == 0
     got, empty = {tuple(x) for x in r.superclasses().collect()}, {x[0] for x in r.unsatisfiable().collect()}
-    want, none = set(), set()
+    want, none, full = set(), set(), set()
     for k, (gcis, roles) in enumerate(worlds):
         t = Tableau(gcis, reflexive(roles))
         for a in range(CLASSES):
@@ -82,6 +82,9 @@ def compare(spark, worlds):
                 none.add(f"w{k}:C{a}")
                 continue
             want |= {(f"w{k}:C{a}", f"w{k}:C{b}") for b in range(CLASSES) if a != b and not t.satisfiable([("name", f"C{a}"), ("not", ("name", f"C{b}"))])}
+        full |= {f"w{k}:C{b}" for b in range(CLASSES) if not t.satisfiable([("not", ("name", f"C{b}"))])}
+    # a class that is everything is above those of the other ontologies too
+    want |= {(f"w{k}:C{a}", f) for k in range(len(worlds)) for a in range(CLASSES) for f in full if f != f"w{k}:C{a}" and f"w{k}:C{a}" not in none}
     assert empty == none
     assert {p for p in got if p[0] not in empty} == want
     return len(want), len(none)
