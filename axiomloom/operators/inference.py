@@ -1,7 +1,8 @@
 """Rules over assertions and hierarchies, and the clean-up of what they infer.
 
 The class hierarchy is closed once; assertions, the large side, are then joined to it
-once. Only transitive properties recurse over assertions.
+once. Only transitive properties recurse over assertions. Tables of properties and classes are settled before
+assertions are joined to them: their size is known then, and a small one doesn't send all assertions to the few tasks of its keys.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import settled
+from ..plans.sized import unique
 from ..schema import IS_INFERRED, TRIVIAL
 from .closure import closure
 from .store import difference
@@ -38,17 +41,19 @@ def inferred_disjoint(told: DataFrame, disjoint: DataFrame) -> DataFrame:
     return both.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
-def inverse_assertions(assertions: DataFrame, inverses: DataFrame, symmetric: DataFrame | None = None) -> DataFrame:
+def inverse_assertions(assertions: DataFrame, inverses: DataFrame, symmetric: DataFrame | None = None, repeated: bool = False) -> DataFrame:
     """``(subject, prop, object, negative)`` that follow from ``assertions`` by inverse and symmetric properties.
 
     Every inverse that a property has counts, whichever side declares it; negative
-    assertions turn round like positive ones.
+    assertions turn round like positive ones. With ``repeated``, each assertion is turned as often as it
+    is given, and no two results are compared.
     """
     both = inverses.select("p", "q").union(inverses.select("q", "p"))
     if symmetric is not None:
         both = both.union(symmetric.select("p", F.col("p").alias("q")))
-    both = both.distinct()
-    return assertions.join(both, F.col("prop") == F.col("p")).select(F.col("object").alias("subject"), F.col("q").alias("prop"), F.col("subject").alias("object"), "negative").distinct()
+    both = settled(both.distinct())
+    turned = assertions.join(both, F.col("prop") == F.col("p")).select(F.col("object").alias("subject"), F.col("q").alias("prop"), F.col("subject").alias("object"), "negative")
+    return turned if repeated else turned.distinct()
 
 
 def subproperty_values(assertions: DataFrame, told: DataFrame) -> DataFrame:
@@ -60,14 +65,15 @@ def subproperty_values(assertions: DataFrame, told: DataFrame) -> DataFrame:
 
 def domain_range_types(assertions: DataFrame, domains: DataFrame, ranges: DataFrame) -> DataFrame:
     """``(ind, cls)``: subjects are in their property's ``domains(prop, cls)``, objects in its ``ranges(prop, cls)``."""
-    subjects = assertions.join(domains, "prop").select(F.col("subject").alias("ind"), "cls")
-    objects = assertions.join(ranges, "prop").select(F.col("object").alias("ind"), "cls")
-    return subjects.union(objects).distinct()
+    subjects = assertions.join(settled(domains), "prop").select(F.col("subject").alias("ind"), "cls")
+    objects = assertions.join(settled(ranges), "prop").select(F.col("object").alias("ind"), "cls")
+    found = subjects.union(objects)
+    return unique(found, found.count())
 
 
 def transitive_values(assertions: DataFrame, transitive: DataFrame) -> DataFrame:
     """``(subject, prop, object)`` of the transitive properties ``transitive(prop)``, closed; given ones included."""
-    rows = assertions.join(transitive.select("prop").distinct(), "prop", "left_semi")
+    rows = assertions.join(settled(transitive.select("prop").distinct()), "prop", "left_semi")
     end = lambda c: F.struct(F.col("prop"), F.col(c).alias("node"))
     found = closure(rows.select(end("subject").alias("src"), end("object").alias("dst")))
     return found.select(F.col("start.node").alias("subject"), F.col("start.prop").alias("prop"), F.col("node.node").alias("object"))
