@@ -36,8 +36,11 @@ def union(*parts: DataFrame, key: str = "axiom_id") -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``left`` without one of equal ``keys`` in ``right`` (a set difference; nulls are equal)."""
-    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    """The rows of ``left`` without one of equal ``keys`` in ``right`` (a set difference; nulls are equal).
+
+    Both may be large: files that are small may hold many rows, so ``right`` isn't broadcast.
+    """
+    r = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().hint("merge")
     on = [left[k].eqNullSafe(r[f"_{k}"]) for k in keys]
     cond = on[0]
     for c in on[1:]:
