@@ -29,7 +29,6 @@ PART, LITERAL, PROPERTY = "\x1f", "\x1e", "\x1d"
 NOT = "\x02"
 #: The context that individuals share.
 EVERYONE = ""
-CLAUSE = "ctx string, head array<string>"
 
 
 def _set(*arrays):
@@ -83,15 +82,12 @@ class Clauses:
         self.spark = axioms.sparkSession
         self.up, self.facts, self.individuals = settled(up), facts, individuals
         self.told = {k: settled(v.distinct()) for k, v in self._split(axioms, expressions, polarity, transitive, empty).items()}
-        first = [classes.select(F.col("iri").alias("ctx")), self._rows([(THING,)], "ctx string")]
+        first = [classes.select(F.col("iri").alias("ctx")), self.spark.range(1).select(F.lit(THING).alias("ctx"))]
         self.contexts = settled(reduce(DataFrame.union, first).distinct())
         told = types.select(F.lit(EVERYONE).alias("ctx"), F.array(_atom(F.col("ind"), F.col("cls"))).alias("head"))
         told = told.union(individuals.select(F.lit(EVERYONE), F.array(_atom(F.col("iri"), F.lit(THING)))))
         self.known = self._saturated(self._beginnings(self.contexts).union(told))
 
-    def _rows(self, rows, schema):
-        return self.spark.createDataFrame(rows, schema)
-
     def _split(self, axioms, expressions, polarity, transitive, empty) -> dict[str, DataFrame]:
         """The axioms as tables: ``one`` and ``two`` names imply one of ``any``; ``exist``, ``all`` and ``most`` of a name; ``lhs``: who has a value of a name."""
         from .relations import pairwise
@@ -256,7 +252,7 @@ class Clauses:
         return less.union(none).distinct()
 
     def _saturated(self, first: DataFrame) -> DataFrame:
-        known = self._rows([], CLAUSE)
+        known = first.where("false").toDF("ctx", "head")
         found = first
         while True:
             plain = found.toDF("ctx", "head").select("ctx", F.array_sort(F.filter("head", lambda a: ~F.endswith(a, F.lit(PART + NOTHING)))).alias("head"))

@@ -77,18 +77,19 @@ class Reasoner:
     def of(self, *kinds: str) -> DataFrame:
         present = [k for k in kinds if k in self._kinds]
         if not present:
-            return self._rows([], self.axioms.schema)
+            return self.axioms.where("false")
         return self.axioms.where(F.col("axiom_type").isin(*present) & ~F.coalesce("negative", F.lit(False)))
 
     def _with(self, *ops: str) -> DataFrame:
         present = [op for op in ops if op in self._ops]
-        return self.expressions.where(F.col("op").isin(*present)) if present else self._rows([], self.expressions.schema)
+        return self.expressions.where(F.col("op").isin(*present)) if present else self.expressions.where("false")
 
     def pairs(self, *kinds: str) -> DataFrame:
         return self.of(*kinds).select("a1", "a2")
 
-    def _rows(self, rows: list[tuple], schema) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+    def _none(self, **columns: str) -> DataFrame:
+        """No rows, and known as such to the planner (a table made from an empty list is not: joins with it are carried out)."""
+        return self.spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(c) for c, kind in columns.items()])
 
     def roles(self) -> DataFrame:
         """``(src, dst)``: told sub-properties, equivalent ones both ways."""
@@ -266,27 +267,30 @@ class Reasoner:
         sub, has = settled(sub.distinct()), settled(has.distinct())
         new_sub, new_has, ind = sub, has, told["ind"]
         between = lambda h: h.join(ind, "a", "left_semi").join(ind.toDF("b"), "b", "left_semi").select("a", "r", "b")
-        universal, ranged, pairs = not told["only"].isEmpty(), not told["range"].isEmpty(), not told["pair"].isEmpty()
+        there = lambda k: not told[k].isEmpty()  # noqa: E731 -- rules about what isn't there would still send all of sub and has
+        universal, ranged, pairs, joint, implying, roles = there("only"), there("range"), there("pair"), there("conj"), there("lhs"), there("role")
+        bottom = known is not None or any(not told[k].where(F.col(c) == NOTHING).isEmpty() for k in ("sub", "conj", "lhs", "range", "only", "has") for c in ("a", "b") if c in told[k].columns)
         while True:
-            out = [
-                new_sub.toDF("a", "m").join(told["sub"].toDF("m", "b"), "m").select("a", "b"),
-                new_sub.toDF("a", "b1").join(told["conj"], "b1").join(sub.toDF("a", "b2"), ["a", "b2"]).select("a", "b"),
-                new_sub.toDF("a", "b2").join(told["conj"], "b2").join(sub.toDF("a", "b1"), ["a", "b1"]).select("a", "b"),
-                new_has.toDF("a", "r", "m").join(told["lhs"], "r").join(sub.toDF("m", "c"), ["m", "c"]).select("a", "b"),
-                has.toDF("a", "r", "m").join(new_sub.toDF("m", "c"), "m").join(told["lhs"], ["r", "c"]).select("a", "b"),
-                new_has.join(sub.where(F.col("b") == NOTHING).select(F.col("a").alias("m")), F.col("b") == F.col("m"), "left_semi").select("a", F.lit(NOTHING).alias("b")),
-                has.join(new_sub.where(F.col("b") == NOTHING).select(F.col("a").alias("m")), F.col("b") == F.col("m"), "left_semi").select("a", F.lit(NOTHING).alias("b")),
-            ]
+            out = [new_sub.toDF("a", "m").join(told["sub"].toDF("m", "b"), "m").select("a", "b")]
+            if joint:
+                out.append(new_sub.toDF("a", "b1").join(told["conj"], "b1").join(sub.toDF("a", "b2"), ["a", "b2"]).select("a", "b"))
+                out.append(new_sub.toDF("a", "b2").join(told["conj"], "b2").join(sub.toDF("a", "b1"), ["a", "b1"]).select("a", "b"))
+            if implying:
+                out.append(new_has.toDF("a", "r", "m").join(told["lhs"], "r").join(sub.toDF("m", "c"), ["m", "c"]).select("a", "b"))
+                out.append(has.toDF("a", "r", "m").join(new_sub.toDF("m", "c"), "m").join(told["lhs"], ["r", "c"]).select("a", "b"))
+            if bottom:
+                out.append(new_has.join(sub.where(F.col("b") == NOTHING).select(F.col("a").alias("m")), F.col("b") == F.col("m"), "left_semi").select("a", F.lit(NOTHING).alias("b")))
+                out.append(has.join(new_sub.where(F.col("b") == NOTHING).select(F.col("a").alias("m")), F.col("b") == F.col("m"), "left_semi").select("a", F.lit(NOTHING).alias("b")))
             if ranged:  # of individuals; restrictions have fillers of their own
                 out.append(between(new_has).toDF("x", "r", "a").join(told["range"], "r").select("a", "b"))
             if universal:
                 asks = lambda s: s.join(ind, "a", "left_semi").toDF("i", "x").join(told["only"], "x").select(F.col("i").alias("a"), "r", F.col("b").alias("c"))
                 out.append(asks(new_sub).join(between(has), ["a", "r"]).select(F.col("b").alias("a"), F.col("c").alias("b")))
                 out.append(asks(sub).join(between(new_has), ["a", "r"]).select(F.col("b").alias("a"), F.col("c").alias("b")))
-            more = [
-                new_sub.toDF("a", "m").join(told["has"].toDF("m", "r", "b"), "m").select("a", "r", "b"),
-                new_has.join(told["role"], "r").select("a", F.col("s").alias("r"), "b"),
-            ]
+            # what a name has itself is in has from the start
+            more = [new_sub.toDF("a", "m").where("a <> m").join(told["has"].toDF("m", "r", "b"), "m").select("a", "r", "b")]
+            if roles:
+                more.append(new_has.join(told["role"], "r").select("a", F.col("s").alias("r"), "b"))
             if pairs:
                 more.append(new_has.toDF("a", "l", "m").join(told["pair"], "l").join(has.toDF("m", "r", "b"), ["m", "r"]).select("a", F.col("s").alias("r"), "b"))
                 more.append(new_has.toDF("m", "r", "b").join(told["pair"], "r").join(has.toDF("a", "l", "m"), ["m", "l"]).select("a", F.col("s").alias("r"), "b"))
@@ -357,7 +361,7 @@ class Reasoner:
     def _too_many(self) -> DataFrame:
         """Individuals of a class "at most n r C" that have over n different ones: values said to differ pairwise are counted."""
         if not self._ops & {"max", "exactly"}:
-            return self._rows([], "reason string, item string")
+            return self._none(reason="string", item="string")
         most = self.expressions.where("op in ('max', 'exactly')").select(F.col("expr_id").alias("b"), F.col("prop").alias("r"), F.coalesce("filler", F.lit(THING)).alias("filler"), "card")
         sub, _ = self.saturated()
         roots = self.roots()
@@ -460,7 +464,7 @@ class Reasoner:
         if "property values" in kinds:
             v = self.values()
             parts.append(v.select("axiom_type", "subject", "prop", "object", none, "datatype", "lang"))
-        empty = self._rows([], "axiom_type string, a1 string, a2 string, a3 string, operands array<string>, datatype string, lang string")
+        empty = self._none(axiom_type="string", a1="string", a2="string", a3="string", operands="array<string>", datatype="string", lang="string")
         return reduce(DataFrame.union, [empty, *parts]).distinct()
 
 
