@@ -12,6 +12,7 @@ from .functions.porter import stem_words
 from .operators import compile as terms
 from .operators import relations, search, store
 from .operators.reason import Reasoner
+from .plans.checkpoints import settled
 from .schema import AXIOM, EXPRESSION, LABEL, SEARCHED
 
 _TEXT = "CAST(NULL AS VARCHAR)"
@@ -204,7 +205,7 @@ def individual_relations(spark, sf_dir):
     order, owner = iri("orders", "o_orderkey"), iri("customer", "o_custkey")
     row = lambda df, kind, *a: df.select(F.lit(kind).alias("axiom_type"), *[x.alias(f"a{k}") for k, x in enumerate(a, 1)], F.lit(None).cast("array<string>").alias("operands"))
     axioms = _union(row(t.customer, "ClassAssertion", iri("customer", "c_custkey"), named("segment/", "c_mktsegment"), text(None)), row(t.orders, "ObjectPropertyAssertion", owner, F.lit("placed"), order), row(t.orders, "DataPropertyAssertion", order, F.lit("total"), F.col("o_totalprice").cast("string")))
-    edges = relations.edges_of(axioms.withColumn("axiom_id", F.sha2(F.concat_ws("|", "axiom_type", "a1", "a2", "a3"), 256)))
+    edges = settled(relations.edges_of(axioms.withColumn("axiom_id", F.sha2(F.concat_ws("|", "axiom_type", "a1", "a2", "a3"), 256))))
     found = relations.directly_related(edges, edges.select(F.col("src").alias("iri")), relations.parse_relations(" Types, ,PROPERTY assertions "))
     return found.select(F.col("iri").alias("src"), "dst", "rel").distinct()
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.sized import dealt_by, unique
 from .closure import closure
 
 ANCESTORS, DESCENDANTS, EQUIVALENTS, DISJOINTS = "ancestors", "descendants", "equivalents", "disjoints"
@@ -61,13 +62,16 @@ def edges_of(axioms: DataFrame) -> DataFrame:
         rows(("ObjectPropertyAssertion",), a3, a1, PROPERTY_ASSERTIONS),
         rows(("DataPropertyAssertion",), a1, a2, PROPERTY_ASSERTIONS),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    # an axiom is up to four edges
+    return unique(reduce(DataFrame.unionByName, parts), 4 * axioms.count())
 
 
 def directly_related(edges: DataFrame, entities: DataFrame, rels) -> DataFrame:
     """``(iri, dst, rel, axiom_id)``: what ``entities(iri)`` are related to in one step of ``rels``."""
     part = edges.where(F.col("rel").isin(*rels))
-    return entities.select("iri").distinct().join(part, F.col("iri") == F.col("src")).select("iri", "dst", "rel", "axiom_id")
+    n = max(part.count(), entities.count())
+    asked = dealt_by(entities.select("iri"), n, "iri")
+    return dealt_by(part, n, "src").join(asked, F.col("iri") == F.col("src"), "left_semi").select(F.col("src").alias("iri"), "dst", "rel", "axiom_id")
 
 
 def related(edges: DataFrame, seeds: DataFrame, rels) -> tuple[DataFrame, DataFrame]:

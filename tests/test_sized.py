@@ -61,3 +61,16 @@ def test_relations_in_pieces(spark, monkeypatch):
     found = relations.directly_related(edges, asked, {"types"})
     assert "REPARTITION_BY_NUM" in plan(found)
     assert sorted(map(tuple, found.collect())) == [("a", "b", "types", "1"), ("a", "c", "types", "2")]
+
+
+def test_absent_kinds_are_empty_plans(spark, sf_dir):
+    """Joins with what no axiom says aren't carried out."""
+    from axiomloom.catalogue import Tables, iri
+    from axiomloom.catalogue_terms import _reasoner, _row
+
+    nations = Tables(spark, sf_dir).nation
+    reasoner = _reasoner(spark, [_row(nations, "Declaration", iri("nation", "n_nationkey"), "class"), _row(nations.limit(1), "SubClassOf", "a", "http://www.w3.org/2002/07/owl#Nothing")])
+    facts = reasoner.of("ObjectPropertyAssertion").join(nations, reasoner.of("ObjectPropertyAssertion")["a1"] == nations["n_name"])
+    for df in (facts, reasoner._with("some")):
+        assert "LocalTableScan <empty>" in plan(df) and "Join" not in plan(df)
+    assert {tuple(r) for r in reasoner.saturated()[0].where("a = 'a' and b like '%Nothing'").collect()} == {("a", "http://www.w3.org/2002/07/owl#Nothing")}
