@@ -13,10 +13,25 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import keep_until_exit
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back, so that its lineage ends there. What is left of it goes with the process, or with :func:`scratch`."""
-    keep_until_exit(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Spark's switch for deleting a query's shuffle files when it ends.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, shuffles_go: bool = False) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back, so that its lineage ends there. What is left of it goes with the process, or with :func:`scratch`.
+
+    With ``shuffles_go`` the shuffle files that made it are deleted at once, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    keep_until_exit(spark)
+    if not shuffles_go:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_SHUFFLES_GO, "false")
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned under the switch
+    finally:
+        spark.conf.set(_SHUFFLES_GO, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -22,14 +22,16 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row of smallest id: SimHash finds them, five-word shingles of Jaccard similarity 0.8 or more decide.
+    """Of each class of near copies the row of smallest id: SimHash and tables of distances to references find them, five-word shingles of Jaccard similarity 0.8 or more decide.
 
     A null id comes after all others; rows that are equal in the id are ordered by their
     other columns. Rows of one id with different texts are different documents.
     """
     found = near_copies.near_copies(docs, COLUMNS)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), *COLUMNS)
-    return found.groupBy("component").agg(F.min(order).alias("row")).select(*[F.col(f"row.{c}") for c in COLUMNS])
+    first = found.where(~F.col("alone")).groupBy("component").agg(F.min(order).alias("row")).select(*[F.col(f"row.{c}") for c in COLUMNS])
+    # rows without near copies stay where they are
+    return found.where("alone").select(*COLUMNS).union(first)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,36 @@ def test_table(spark, sf_dir):
     comps = brute.components([r[0] for r in rows], brute.near_pairs([r[1] for r in rows]))
     assert sorted(map(tuple, kept(spark, rows))) == [r for r, c in zip(rows, comps, strict=True) if r[0] == c]
     assert kept(spark, []) == []
+
+
+def test_reference_distances():
+    """Distance tables discard no pair within reach, nearly all others, and come back from their bytes."""
+    rng = np.random.default_rng(82)
+    far = rng.integers(0, 1 << 64, (4000, near_copies.BITS // 64), dtype=np.uint64)
+    flips = np.zeros((2000, near_copies.BITS), np.uint8)
+    for row, k in zip(flips, rng.integers(0, 80, 2000), strict=True):
+        row[rng.choice(near_copies.BITS, k, replace=False)] = 1
+    prints = np.concatenate([far, far[:2000] ^ np.packbits(flips, axis=1).view(np.uint64)])
+    table = near_copies.reference_distances(prints)
+    kept = near_copies.unpacked(near_copies.packed(table))
+    assert (kept[:, : table.shape[1]] == table).all() and not kept[:, table.shape[1] :].any()
+    link_bits = near_copies.calibrate(len(prints))[2]
+    near, i = near_copies.reach(kept, np.arange(2000), np.arange(4000, 6000)), np.arange(0, 4000, 2)
+    assert (near <= np.bitwise_count(prints[:2000] ^ prints[4000:]).sum(1)).all()
+    assert (near_copies.reach(kept, i, i + 1) > link_bits).mean() > 0.98
+
+
+def test_tables_discard():
+    """A cell's rows go on exactly if their tables leave them a partner in it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(83)
+    prints = rng.integers(0, 1 << 64, (300, near_copies.BITS // 64), dtype=np.uint64)
+    prints[1::10] = prints[::10] ^ rng.integers(0, 1 << 20, (30, 1), dtype=np.uint64)
+    rows = [r.tobytes() for r in near_copies.packed(near_copies.reference_distances(prints))]
+    cell = np.repeat(np.arange(15), 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.arange(300)), pa.array(rows, pa.binary())], names=["cell", "node", "distances"])
+    got = [r["node"] for b in near_copies._within_reach(58)([batch]) for r in b.to_pylist()]
+    table = near_copies.reference_distances(prints).astype(int)
+    want = [i for i in range(300) if any(i != j and cell[i] == cell[j] and np.abs(table[i] - table[j]).sum() <= 58 for j in range(300))]
+    assert got == want and set(range(0, 300, 10)) <= set(want) and len(want) < 150
